@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jpeg, language, sharding, toxicity, warc
+from . import bpe, chat, decontaminate, jpeg, language, nearcopies, sharding, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, t, r, r"\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -49,5 +53,47 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op3_toxicity, op5_chat_formatting, op6_language_id, op7_warc, op8_byte_bpe, op9_sharding)}
-ORACLES: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op3_toxicity, op4_near_duplicates, op5_chat_formatting, op6_language_id, op7_warc, op8_byte_bpe, op9_sharding, op10_decontamination)}
+_OP4_SQL = """
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+    from documents
+), s as (
+    select distinct doc_id, case when len(words) < 5 then list_aggregate(words, 'string_agg', ' ')
+        else words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] || ' ' || words[i + 4] end as shingle
+    from w, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) as t(i)
+), n as (select doc_id, count(*) as n from s group by doc_id
+), links as (
+    select x.doc_id as a, y.doc_id as b from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id
+    join n p on p.doc_id = x.doc_id join n q on q.doc_id = y.doc_id
+    group by x.doc_id, y.doc_id having 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))
+), reach(a, b) as (
+    select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a
+), c as (select a as doc_id, min(b) as component_id from reach group by a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+_WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+_OP10_SQL = f"""
+with d as (select doc_id, {_WORDS_SQL} as words from documents
+), b as (select cast(item_id as varchar) as item_id, {_WORDS_SQL} as words from benchmark
+), v as (
+    select item_id, words[i:i + 9] as part from b, unnest(generate_series(1, greatest(len(words) - 9, 1))) as t(i) where len(words) > 0
+), sizes as (select distinct len(part) as n from v
+), spans as (
+    select doc_id, i, n, words[i:i + n - 1] as part from d, sizes, unnest(generate_series(1, len(words) - n + 1)) as t(i)
+), hits as (select doc_id, i, n, item_id from spans join v using (part)
+), places as (select doc_id, count(distinct p) as n_hit from hits, unnest(generate_series(i, i + n - 1)) as t(p) group by doc_id
+), items as (select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id, ',' order by item_id)) as items_sha256 from hits group by doc_id)
+select d.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+    coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (doc_id) left join items using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_near_duplicates": _OP4_SQL, "op10_decontamination": _OP10_SQL}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, documents_in, prefix_hash, spans_hash, words_in
+from .common import ALNUM, documents_in, mix, prefix_hash, spans_hash, words_in
 
 #: Hashed vocabulary; counts and scores are tables of this size whatever the corpus.
 BITS = 20
@@ -21,11 +21,15 @@ PRIOR = 200.0
 #: What each token costs, so that chance passages drift down.
 DRIFT = 0.25
 _EULER = 0.5772156649
+#: Besides the whole word, beginnings of so many bytes give evidence: unseen forms of known stems are scored too.
+PREFIXES = (4, 5, 6)
+#: Steps of a score in the histogram from which the extreme-value rate is found.
+_STEP = 1 / 64
 
 
 @dataclass
 class Model:
-    scores: np.ndarray  # float32 by bucket, drift taken off
+    odds: np.ndarray  # float32 by bucket: log-odds, drawn to 0 by their standard error
     rate: float = 1.0  # Karlin-Altschul lambda
     scale: float = 1.0  # and K
     weights: tuple[float, float, float] = (-3.0, 1.0, 0.0)
@@ -42,10 +46,17 @@ class Model:
 
 
 def buckets(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, start and end of each word, and the offsets of each text's words."""
+    """Buckets of each word (one row for the whole, one for each beginning), its start and end, and the offsets of each text's words."""
     starts, ends, bounds = words_in(b, at, ALNUM)
-    h = spans_hash(prefix_hash(b, lower=True), starts, ends)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), starts, ends, bounds
+    p = prefix_hash(b, lower=True)
+    rows = [spans_hash(p, starts, ends)]
+    rows += [mix(spans_hash(p, starts, np.minimum(starts + n, ends)) + np.uint64(n)) for n in PREFIXES]
+    return (np.stack(rows) >> np.uint64(64 - BITS)).astype(np.int64), starts, ends, bounds
+
+
+def token_scores(table: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """The most toxic evidence of each word, less the drift."""
+    return table[idx].max(0) - np.float32(DRIFT)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -74,10 +85,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(lo, hi, right - left) for lo, hi, left, right in stack]
 
 
-def _features(model: Model, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Best segment, words, sum of significant segments and these (byte offsets in the text)."""
+def _features(model: Model, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int, float]]], np.ndarray]:
+    """Best segment, words, sum of significant segments, these (byte offsets in the text), and the words' scores."""
     idx, starts, ends, bounds = buckets(b, at)
-    s = model.scores[idx]
+    s = token_scores(model.odds, idx)
     n = len(at) - 1
     best, total = np.zeros(n), np.zeros(n)
     found: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
@@ -92,7 +103,7 @@ def _features(model: Model, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
             if score >= least:
                 total[i] += score
                 found[i].append((int(starts[lo + first] - at[i]), int(ends[lo + last - 1] - at[i]), float(score)))
-    return best, words, total, found
+    return best, words, total, found, s
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -132,7 +143,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
                 own = np.repeat(y[k : k + len(ids)], np.diff(bounds))
                 k += len(ids)
                 for c in (0, 1):
-                    n[c] += np.bincount(idx[own == c], minlength=1 << BITS)
+                    n[c] += np.bincount(idx[:, own == c].ravel(), minlength=1 << BITS)
         k = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n[0, k]), pa.array(n[1, k])], ["bucket", "clean", "toxic"])
 
@@ -141,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
     k = counts.column("bucket").to_numpy()
     n[0, k], n[1, k] = counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()
     if not n[0].any() or not n[1].any():
-        return Model(np.full(1 << BITS, -DRIFT, np.float32))
+        return Model(np.zeros(1 << BITS, np.float32))
     prior = PRIOR * n.sum(0) / n.sum()
     a, c = n[1] + prior, n[0] + prior
     odds = np.zeros(1 << BITS)
@@ -149,28 +160,41 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
     odds[k] = np.log(a[k] / (n[1].sum() + PRIOR - a[k])) - np.log(c[k] / (n[0].sum() + PRIOR - c[k]))
     doubt = np.sqrt(1 / a[k] + 1 / c[k])
     odds[k] = np.sign(odds[k]) * np.maximum(np.abs(odds[k]) - 1.64 * doubt, 0)
-    model = Model((np.clip(odds, -3, 6) - DRIFT).astype(np.float32))
-    shares = n[0] / n[0].sum()
-    if not ((model.scores > 0) & (shares > 0)).any():
-        return model
-    model.rate = _rate(shares[k], model.scores[k].astype(np.float64))
+    model = Model(np.clip(odds, -3, 6).astype(np.float32))
+    lowest, cells = -3 - DRIFT, int(9 / _STEP) + 2
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The features of each labelled text, and last the histogram of clean texts' token scores."""
+        seen = np.zeros(cells, np.int64)
+        names = ["best", "words", "total", "y", "seen"]
         for batch in batches:
-            y, k = batch.column("y"), 0
+            y, k = batch.column("y").to_numpy(), 0
             for ids, b, at in documents_in([batch.select(["doc_id", "text"])]):
-                best, words, total, _ = _features(model, b, at)
-                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(words.astype(np.int64)), pa.array(total), y.slice(k, len(ids))], ["best", "words", "total", "y"])
+                own = y[k : k + len(ids)]
+                best, words, total, _, s = _features(model, b, at)
+                clean = np.repeat(own == 0, words)
+                seen += np.bincount(((s[clean] - lowest) / _STEP).round().astype(np.int64), minlength=cells)
                 k += len(ids)
-
-    schema = "best double, words long, total double, y int"
-    # the scale first, from clean texts; then the weights, with significance under that scale
-    seen = sample.mapInArrow(measure, schema).toArrow()
-    best, words, y = (seen.column(x).to_numpy() for x in ("best", "words", "y"))
+                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(words.astype(np.int64)), pa.array(total), pa.array(own), pa.nulls(len(ids), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int32()), pa.array([seen.tolist()], pa.list_(pa.int64()))], names)
+
+    def measured() -> tuple[np.ndarray, ...]:
+        rows = sample.mapInArrow(measure, "best double, words long, total double, y int, seen array<long>").toArrow()
+        hist = sum((np.array(x, np.int64) for x in rows.column("seen").to_pylist() if x is not None), np.zeros(cells, np.int64))
+        rows = rows.filter(rows.column("y").is_valid())
+        return *(rows.column(c).to_numpy() for c in ("best", "words", "total", "y")), hist
+
+    # rate and scale first, from clean texts; then the weights, with significance under these
+    best, words, _, y, hist = measured()
+    levels = lowest + _STEP * np.arange(cells)
+    shares = hist / max(hist.sum(), 1)
+    if not (hist[levels > 0]).any():
+        shares = shares * (1 - 1e-6)
+        shares[-1] += 1e-6  # no clean word scored above 0: as if one in a million did, as highly as can be
+    model.rate = _rate(shares, levels)
     clean = (y == 0) & (words > 0)
     model.scale = float(np.exp(np.mean(model.rate * best[clean] - np.log(words[clean])) - _EULER)) if clean.any() else 1.0
-    seen = sample.mapInArrow(measure, schema).toArrow()
-    best, words, total, y = (seen.column(x).to_numpy() for x in ("best", "words", "total", "y"))
+    best, words, total, y, _ = measured()
     x = np.stack([np.ones(len(y)), -model.chance(best, words), np.log1p(total)], 1)
     w = np.zeros(3)
     for _ in range(30):  # Newton steps of a ridge logistic regression
@@ -199,7 +223,7 @@ def score(documents: DataFrame, model: Model, passages: bool = False) -> DataFra
         for batch in batches:
             ids, k = batch.column("doc_id"), 0
             for own, b, at in documents_in([batch]):
-                best, words, total, found = _features(model, b, at)
+                best, words, total, found, _ = _features(model, b, at)
                 cols = [ids.slice(k, len(own)), pa.array(model.probability(best, words, total)), pa.array(words.astype(np.int64)), pa.array([len(f) for f in found], pa.int32())]
                 if passages:
                     cols.append(pa.array([[{"start": s, "end": e, "score": v} for s, e, v in f] for f in found], kind))
