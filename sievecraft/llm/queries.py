@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jpeg, language, nearcopies, sharding, toxicity, warc
+from . import bpe, chat, decontaminate, jpeg, language, nearcopies, repeats, sharding, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 SHARDS = [f"shard-{i:04d}" for i in range(512)]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_column(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_column(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+    return bpe.encode_column(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op3_toxicity, op4_near_duplicates, op5_chat_formatting, op6_language_id, op7_warc, op8_byte_bpe, op9_sharding, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_columns, op3_toxicity, op4_near_duplicates, op5_chat_formatting, op6_language_id, op7_warc, op8_byte_bpe, op9_sharding, op10_decontamination)}
 _OP4_SQL = """
 with recursive w as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
