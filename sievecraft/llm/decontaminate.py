@@ -17,7 +17,7 @@ WINDOW = 10
 BROADCAST_BYTES = 48 << 20
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,7 +111,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     hit = new.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("from")).alias("n_hit"))
     items = found.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     items = items.select("doc_id", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
-    rows = documents.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    parts = F.split(F.coalesce("text", F.lit("")), _BETWEEN_ANY_CASE)
+    rows = documents.select("doc_id", parts.alias("parts"))
+    empty = (F.col("parts")[0] == "").cast("int") + ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
+    rows = rows.select("doc_id", (F.size("parts") - empty).cast("long").alias("n_words"))
     both = rows.join(hit.join(items, "doc_id"), "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
