@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; keeps the numpy arrays inside the CPU caches.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean() -> None:
+    """Makes a Python worker give freed arrays and batches back at once; workers share their executor's memory."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
+            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and int64 offsets (from 0) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,6 +80,7 @@ def chunks(ids: np.ndarray, raw: np.ndarray, at: np.ndarray, limit: int = CHUNK_
 
 def documents_in(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """doc_id, bytes and offsets of (doc_id, text) batches, chunk by chunk."""
+    lean()
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         raw, at = text_buffer(batch.column("text"))

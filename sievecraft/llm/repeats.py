@@ -17,18 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _grown, documents_in, mix, partitions, prefix_hash, spans_hash
+from .common import _grown, documents_in, lean, mix, partitions, prefix_hash, spans_hash
 
 WIDTH = 50
 #: Bytes of the grams whose smallest hash is a window's anchor.
 GRAM = 24
 #: Anchors and bytes of text that a task gathers before it sends them on.
-_HELD, _HELD_BYTES = 1 << 20, 24 << 20
+_HELD, _HELD_BYTES = 1 << 18, 8 << 20
+#: Anchors that meet in a bucket, about; a task works on one bucket at a time.
+_BUCKET = 150_000
 #: Windows that are sorted at once.
-_SORTED = 1 << 19
+_SORTED = 1 << 18
 #: The internal column of packed spans.
 SPANS = "__spans"
 
@@ -106,16 +109,51 @@ def _row(bucket: list, kind: list, ids: list, blobs: list) -> pa.RecordBatch:
 _SCHEMA = "bucket int, kind int, doc_id long, blob binary"
 
 
-def _answers(docs: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """A row for each document, with its columns packed."""
+def _answers(groups: int, docs: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """What is found out about documents, packed by the documents' groups, so that the rows don't grow with the documents."""
     if not len(docs):
-        return
-    order = np.lexsort((*columns[::-1], docs))
-    docs = docs[order]
-    columns = [c[order] for c in columns]
-    bounds = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs))
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield int(docs[lo]), _packed(*(c[lo:hi] for c in columns))
+        return [], []
+    where = (mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((*columns[::-1], docs, where))
+    docs, where = docs[order], where[order]
+    columns = [c[order].astype(np.uint64) for c in columns]
+    bounds = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(docs))
+    blobs = [struct.pack("<q", docs[lo]) + _packed(_delta(docs[lo:hi] - docs[lo]), *(c[lo:hi] for c in columns)) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return where[bounds[:-1]].tolist(), blobs
+
+
+def _found(rows: tuple[list[int], list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], ["group", "blob"])
+
+
+def _per_document(columns: int):
+    """One row for each document from the packed answers; one group after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            docs, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((cols[0], docs))
+            docs, cols = docs[order], [c[order] for c in cols]
+            bounds = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs))
+            for k in range(0, len(bounds) - 1, 4096):
+                part = bounds[k : k + 4097].tolist()
+                blobs = [_packed(*(c[lo:hi] for c in cols)) for lo, hi in zip(part[:-1], part[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[part[:-1]]), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+
+        for batch in batches:
+            for g, raw in zip(batch.column("group").to_pylist(), batch.column("blob"), strict=True):
+                if g != group and held:
+                    yield from flush()
+                    held = []
+                group, raw = g, raw.as_py()
+                (d, *cols), _ = _unpacked(raw[8:], columns + 1)
+                held.append((np.cumsum(d, dtype=np.uint64).astype(np.int64) + struct.unpack_from("<q", raw)[0], *cols))
+        if held:
+            yield from flush()
+
+    return run
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -135,10 +173,8 @@ def _send_anchors(width: int, gram: int, cut: int, buckets: int):
         bounds = np.append(np.flatnonzero(new), len(h))
         count = np.diff(bounds)
         many = np.repeat(count > 1, count)
-        rows = list(_answers(d[many], h[many] >> np.uint64(cut)))
-        if rows:
-            where = (np.arange(len(rows)) % buckets).tolist()
-            yield _row(where, [1] * len(rows), [x[0] for x in rows], [x[1] for x in rows])
+        groups, packed = _answers(buckets, d[many], h[many] >> np.uint64(cut))
+        yield _row(groups, [1] * len(groups), groups, packed)
         h, d = h[bounds[:-1]], np.where(count > 1, -1, d[bounds[:-1]])
         cuts = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
         ids, blobs, where = [], [], []
@@ -170,40 +206,48 @@ def _send_anchors(width: int, gram: int, cut: int, buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(buckets: int):
     """Answers each document with its anchors that another document has; one bucket after another."""
-    bucket, hs, ds = None, [], []
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(hs: list[np.ndarray], ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         h, d = np.concatenate(hs), np.concatenate(ds)
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         bounds = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
         count = np.diff(bounds)
         keep = np.repeat(count > 1, count) & (d >= 0)
-        rows = list(_answers(d[keep], h[keep]))
-        for lo in range(0, len(rows), 4096):
-            part = rows[lo : lo + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.binary())], ["doc_id", "blob"])
-
-    for batch in batches:
-        kinds = batch.column("kind").to_numpy()
-        own = pa.array(kinds == 1)
-        if (kinds == 1).any():
-            yield batch.select(["doc_id", "blob"]).filter(own)
-        for i in np.flatnonzero(kinds == 0).tolist():
-            k = batch.column("bucket")[i].as_py()
-            if k != bucket and hs:
-                yield from flush()
-                hs, ds = [], []
-            bucket = k
-            raw, first = batch.column("blob")[i].as_py(), batch.column("doc_id")[i].as_py()
-            (base,), at = _unpacked(raw, 1)
-            (h, who), _ = _unpacked(raw[at:], 2)
-            hs.append(np.cumsum(h, dtype=np.uint64))
-            ds.append((np.cumsum(base, dtype=np.uint64).astype(np.int64) + first)[who.astype(np.int64)])
-    if hs:
-        yield from flush()
+        return d[keep], h[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, hs, ds = None, [], []
+        out: list[tuple] = []
+        held = 0
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            if (kinds == 1).any():
+                own = batch.filter(pa.array(kinds == 1))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int32()), own.column("blob")], ["group", "blob"])
+            for i in np.flatnonzero(kinds == 0).tolist():
+                k = batch.column("bucket")[i].as_py()
+                if k != bucket and hs:
+                    out.append(flush(hs, ds))
+                    held += len(out[-1][0])
+                    hs, ds = [], []
+                    if held >= _HELD:
+                        yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
+                        out, held = [], 0
+                bucket = k
+                raw, first = batch.column("blob")[i].as_py(), batch.column("doc_id")[i].as_py()
+                (base,), at = _unpacked(raw, 1)
+                (h, who), _ = _unpacked(raw[at:], 2)
+                hs.append(np.cumsum(h, dtype=np.uint64))
+                ds.append((np.cumsum(base, dtype=np.uint64).astype(np.int64) + first)[who.astype(np.int64)])
+        if hs:
+            out.append(flush(hs, ds))
+        if out:
+            yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
+
+    return run
 
 
 def _send_pieces(width: int, gram: int, cut: int, buckets: int):
@@ -213,6 +257,7 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
     """
 
     def flush(text: list[np.ndarray], cols: list[tuple]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
         b = np.concatenate(text)
         doc, start, lo, size, h, content = (np.concatenate(x) for x in zip(*cols, strict=True))
         order = np.lexsort((start, doc, content, h))
@@ -220,10 +265,8 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
         new = np.append(True, (h[1:] != h[:-1]) | (content[1:] != content[:-1]))
         first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = doc != first
-        rows = list(_answers(doc[later], start[later].astype(np.uint64), size[later].astype(np.uint64)))
-        if rows:
-            where = (np.arange(len(rows)) % buckets).tolist()
-            yield _row(where, [1] * len(rows), [x[0] for x in rows], [x[1] for x in rows])
+        groups, packed = _answers(buckets, doc[later], start[later], size[later])
+        yield _row(groups, [1] * len(groups), groups, packed)
         keep = ~later
         doc, start, lo, size, h = (x[keep] for x in (doc, start, lo, size, h))
         cuts = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
@@ -233,8 +276,7 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
             if i < j:
                 base = int(doc[i:j].min())
                 head = _packed(_delta(h[i:j]), (doc[i:j] - base).astype(np.uint64), start[i:j].astype(np.uint64), size[i:j].astype(np.uint64))
-                # by where they lie, neighbours' overlaps compress
-                blobs.append(head + b"".join(b[s : s + n].tobytes() for s, n in zip(lo[i:j].tolist(), size[i:j].tolist(), strict=True)))
+                blobs.append(head + small.compress(b"".join(b[s : s + n].tobytes() for s, n in zip(lo[i:j].tolist(), size[i:j].tolist(), strict=True))))
                 ids.append(base)
                 where.append(k)
         if where:
@@ -244,6 +286,7 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
         text: list[np.ndarray] = []
         cols: list[tuple] = []
         held = 0
+        lean()
         for batch in batches:
             k, shared = 0, batch.column("shared")
             for ids, b, at in documents_in([batch.select(["doc_id", "text"])]):
@@ -254,7 +297,7 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
                 for i in range(len(ids)):
                     lo, hi = cuts[i], cuts[i + 1]
                     if lo < hi:
-                        own = np.concatenate([_unpacked(x, 1)[0][0] for x in shared[k + i].as_py()])
+                        own = _unpacked(shared[k + i].as_py(), 1)[0][0]
                         keep[lo:hi] = np.isin(h[lo:hi] >> np.uint64(cut), own)
                 k += len(ids)
                 starts, stops, h, who = starts[keep], stops[keep], h[keep], who[keep]
@@ -299,9 +342,20 @@ def repeated(b: np.ndarray, suffixes: np.ndarray, groups: np.ndarray, width: int
     return order, group
 
 
+def _contents(b: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each piece's bytes; pieces lie side by side and are hashed about a megabyte at a time."""
+    out, i = np.zeros(len(lo), np.uint64), 0
+    while i < len(lo):
+        j = max(i + 1, int(np.searchsorted(lo, lo[i] + (1 << 20))))
+        end = lo[j - 1] + size[j - 1]
+        out[i:j] = spans_hash(prefix_hash(b[lo[i] : end]), lo[i:j] - lo[i], lo[i:j] + size[i:j] - lo[i])
+        i = j
+    return out
+
+
 def _covered(b: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, lo: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and length of the pieces' parts that a smaller document has; pieces come sorted by anchor."""
-    content = spans_hash(prefix_hash(b), lo, lo + size)
+    content = _contents(b, lo, size)
     order = np.lexsort((start, doc, content, h))
     doc, start, lo, size, h, content = (x[order] for x in (doc, start, lo, size, h, content))
     new = np.append(True, (h[1:] != h[:-1]) | (content[1:] != content[:-1]))
@@ -340,11 +394,11 @@ def _covered(b: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, l
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _sort_pieces(width: int):
+def _sort_pieces(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[tuple]:
             b = np.concatenate([x[0] for x in held])
             shift = np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[1]) for x in held])
             h, doc, start, lo, size = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
@@ -359,78 +413,92 @@ def _sort_pieces(width: int):
                 j = int(np.searchsorted(done, top, "right"))
                 e = np.searchsorted(edge, max(j, k + 1))
                 j = int(edge[e]) if e < len(edge) else len(h)
-                base, end = int(lo[k:j].min()), int((lo[k:j] + size[k:j]).max())
-                if end - base > 4 * int(size[k:j].sum()):  # scattered pieces are put together
-                    own = np.concatenate([b[s : s + n] for s, n in zip(lo[k:j].tolist(), size[k:j].tolist(), strict=True)])
-                    where = np.cumsum(size[k:j]) - size[k:j]
-                else:
-                    own, where = b[base:end], lo[k:j] - base
-                d, s, n = _covered(own, h[k:j], doc[k:j], start[k:j], where, size[k:j], width)
-                rows = list(_answers(d, s.astype(np.uint64), n.astype(np.uint64)))
-                for i in range(0, len(rows), 4096):
-                    part = rows[i : i + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.binary())], ["doc_id", "blob"])
+                # these pieces side by side, out of the bucket's text
+                own = np.concatenate([b[s : s + n] for s, n in zip(lo[k:j].tolist(), size[k:j].tolist(), strict=True)])
+                where = np.cumsum(size[k:j]) - size[k:j]
+                yield _covered(own, h[k:j], doc[k:j], start[k:j], where, size[k:j], width)
                 k = j
 
+        out: list[tuple] = []
+        count = 0
+
+        def gathered(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, out, count
+            if held:
+                for x in flush():
+                    out.append(x)
+                    count += len(x[0])
+            held = []
+            if out and (last or count >= _HELD):
+                yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
+                out, count = [], 0
+
+        lean()
+        grown = zstandard.ZstdDecompressor()
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             if (kinds == 1).any():
-                yield batch.select(["doc_id", "blob"]).filter(pa.array(kinds == 1))
+                own = batch.filter(pa.array(kinds == 1))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int32()), own.column("blob")], ["group", "blob"])
             for i in np.flatnonzero(kinds == 0).tolist():
                 k = batch.column("bucket")[i].as_py()
-                if k != bucket and held:
-                    yield from flush()
-                    held = []
+                if k != bucket:
+                    yield from gathered(False)
                 bucket = k
                 raw, base = batch.column("blob")[i].as_py(), batch.column("doc_id")[i].as_py()
                 (h, doc, start, size), at = _unpacked(raw, 4)
                 size = size.astype(np.int64)
-                held.append((np.frombuffer(raw, np.uint8, offset=at), np.cumsum(h, dtype=np.uint64), doc.astype(np.int64) + base, start.astype(np.int64), np.cumsum(size) - size, size))
-        if held:
-            yield from flush()
+                held.append((np.frombuffer(grown.decompress(raw[at:]), np.uint8), np.cumsum(h, dtype=np.uint64), doc.astype(np.int64) + base, start.astype(np.int64), np.cumsum(size) - size, size))
+        yield from gathered(True)
 
     return run
 
 
-def _union(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of the spans."""
+def _union(spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of the packed spans, which are sorted by start."""
     if not spans:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    parts = [_unpacked(x, 2)[0] for x in spans]
-    s = np.concatenate([p[0] for p in parts]).astype(np.int64)
-    e = s + np.concatenate([p[1] for p in parts]).astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
+    (s, n), _ = _unpacked(spans, 2)
+    s = s.astype(np.int64)
+    e = np.maximum.accumulate(s + n.astype(np.int64))
     first = np.append(True, s[1:] > e[:-1])
     return s[first], e[np.append(np.flatnonzero(first)[1:] - 1, len(e) - 1)]
 
 
-def _cut_bits(documents: DataFrame) -> int:
-    """Low hash bits that the first round leaves out, by the input's size: few enough that chance meetings stay rare.
+def _plan_for(documents: DataFrame, width: int, gram: int) -> tuple[int, int]:
+    """Low hash bits that the first round leaves out and buckets a partition, by the optimizer's size of the input.
 
-    A chance meeting only moves some text in vain; the second round compares bytes.
+    So few bits go that chance meetings stay rare; one only moves some text in vain, as the
+    second round compares bytes. Text is taken to be twice its stored size.
     """
-    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 64 - min(64, max(40, math.ceil(math.log2(max(size, 2))) + 18))
+    size = max(2, int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    found = 2 * size * 2 // (width - gram + 2)
+    return 64 - min(64, max(40, math.ceil(math.log2(size)) + 18)), max(1, min(64, -(-found // (_BUCKET * partitions(documents.sparkSession)))))
 
 
 def covered_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the documents with an id, dealt by it, and doc_id with the packed spans that smaller documents have."""
     spark = documents.sparkSession
-    buckets, cut = partitions(spark), _cut_bits(documents)
+    tasks = partitions(spark)
+    cut, each = _plan_for(documents, width, gram)
+    buckets = tasks * each
     known = documents.where(F.col("doc_id").isNotNull())
     sent = known.select("doc_id", "text").mapInArrow(_send_anchors(width, gram, cut, buckets), _SCHEMA)
-    shared = sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "doc_id long, blob binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("blob").alias("shared"))
-    texts = known.repartition(buckets, "doc_id")
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.repartitionById(tasks, F.col(by) % tasks).sortWithinPartitions(by)
+
+    found = dealt(sent, "bucket").mapInArrow(_shared_anchors(buckets), "group int, blob binary")
+    shared = dealt(found, "group").mapInArrow(_per_document(1), "doc_id long, blob binary").withColumnRenamed("blob", "shared")
+    texts = known.repartition(tasks, "doc_id")
     pieces = texts.join(shared.hint("shuffle_hash"), "doc_id").select(texts.doc_id, texts.text, shared.shared).mapInArrow(_send_pieces(width, gram, cut, buckets), _SCHEMA)
-    spans = pieces.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_sort_pieces(width), "doc_id long, blob binary")
-    return texts, spans.groupBy("doc_id").agg(F.collect_list("blob").alias(SPANS))
+    covered = dealt(pieces, "bucket").mapInArrow(_sort_pieces(width, buckets), "group int, blob binary")
+    return texts, dealt(covered, "group").mapInArrow(_per_document(2), "doc_id long, blob binary").withColumnRenamed("blob", SPANS)
 
 
-def _cut(own: np.ndarray, spans: list[bytes] | None) -> tuple[bytes, int]:
+def _cut(own: np.ndarray, spans: bytes | None) -> tuple[bytes, int]:
     """What is left of a text's bytes, and how many runs went."""
-    s, e = _union(spans or [])
+    s, e = _union(spans)
     s, e = s[s < len(own)], np.minimum(e[s < len(own)], len(own))
     raw = own.tobytes()
     if not len(s):
@@ -463,7 +531,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 k += len(ids)
 
     cut = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").mapInArrow(run, schema)
-    nobody = documents.where(F.col("doc_id").isNull()).withColumn(SPANS, F.lit(None).cast("array<binary>")).mapInArrow(run, schema)
+    nobody = documents.where(F.col("doc_id").isNull()).withColumn(SPANS, F.lit(None).cast("binary")).mapInArrow(run, schema)
     return cut.unionByName(nobody)
 
 
