@@ -60,7 +60,11 @@ class Vocabulary:
             while n and word[:n] not in self.trie:
                 n -= 1
             self.shorter[rank] = self.trie.get(word[:n]) if n else _NONE
-        self.kept: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self.longest = max(self.size.values())
+        #: Decimal ids and decoded bytes of pieces met before, and how many characters these have.
+        self.texts: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.held = 0
 
     def _merged(self, token: bytes) -> list[int]:
         """The parts of a token before its own merge, by merging lower ranks."""
@@ -105,18 +109,13 @@ class Vocabulary:
 
     def _longest(self, text: str, at: int) -> int:
         """The longest token that starts at a position; all single bytes are tokens."""
-        size = self.longest_token
+        size = self.longest
+        trie = self.trie
         part = text[at : at + size]
-        n = self.trie.longest_prefix(part)
-        while part[:n] not in self.trie:
-            n -= 1
-        return self.trie.get(part[:n])
-
-    @property
-    def longest_token(self) -> int:
-        if not hasattr(self, "_longest_token"):
-            self._longest_token = max(self.size.values())
-        return self._longest_token
+        part = part[: trie.longest_prefix(part)]
+        while (found := trie.get(part, _NONE)) == _NONE:
+            part = part[:-1]
+        return found
 
     def piece(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -146,20 +145,31 @@ class Vocabulary:
                 break
         return ids
 
-    def known(self, piece: str) -> tuple[int, str, tuple[int, ...]]:
-        """Count, decimal ids and ids of a piece; memoised, emptied when full."""
-        found = self.kept.get(piece)
-        if found is None:
-            ids = tuple(self.piece(piece.encode()))
-            found = len(ids), ",".join(map(str, ids)), ids
-            if len(piece) <= 64:
-                if len(self.kept) >= self.memo // 4:
-                    self.kept.clear()
-                self.kept[piece] = found
-        return found
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers the ids and, decoded from these, the bytes of pieces; forgets all others when full."""
+        if len(self.texts) >= self.memo // 2 or self.held > 1 << 25:
+            self.texts.clear()
+            self.decoded.clear()
+            self.held = 0
+        texts, decoded = self.texts, self.decoded
+        for p in pieces:
+            if p not in texts:
+                ids = self.piece(p.encode())
+                texts[p] = ",".join(map(str, ids))
+                decoded[p] = self.decode(ids)
+                self.held += len(p)
+
+    def both_ways(self, text: str) -> tuple[str, bytes]:
+        """The decimal ids of a text, joined by commas, and the bytes that these decode to."""
+        pieces = self.cut(text)
+        found = list(map(self.texts.get, pieces))
+        if None in found:
+            self.learn(pieces)
+            found = map(self.texts.__getitem__, pieces)
+        return ",".join(found), b"".join(map(self.decoded.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.cut(text) for i in self.known(p)[2]]
+        return [i for p in self.cut(text) for i in self.piece(p.encode())]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -190,13 +200,12 @@ def encode_column(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
                 part = batch.slice(lo, 256)
                 out: list[list] = [[], [], [], []]
                 for text in part.column(1).to_pylist():
-                    found = list(map(v.known, v.cut(text or "")))
-                    ids = [i for x in found for i in x[2]]
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
-                    out[2].append(hashlib.sha256(v.decode(ids)).hexdigest())
+                    ids, decoded = v.both_ways(text or "")
+                    out[0].append(ids.count(",") + 1 if ids else 0)
+                    out[1].append(hashlib.sha256(ids.encode()).hexdigest())
+                    out[2].append(hashlib.sha256(decoded).hexdigest())
                     if keep_ids:
-                        out[3].append(ids)
+                        out[3].append([int(x) for x in ids.split(",")] if ids else [])
                 cols = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
