@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import steps
+from .plans import boxes, steps
 
 QUERIES = {}
 ORACLES = {}
-for _module in (steps,):
+for _module in (boxes, steps):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
