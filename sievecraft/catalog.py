@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import boxes, steps
+from .plans import boxes, corpus, samples, steps
 
 QUERIES = {}
 ORACLES = {}
-for _module in (boxes, steps):
+for _module in (boxes, corpus, samples, steps):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
