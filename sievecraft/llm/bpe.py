@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import REMEMBERED, lean
+
 _NONE = 1 << 62
 
 
@@ -176,6 +178,7 @@ class Vocabulary:
 
 
 _open: dict[tuple, Vocabulary] = {}
+REMEMBERED["bpe"] = _open.clear
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -194,7 +197,10 @@ def encode_column(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        with lean("bpe"):
+            yield from encoded(batches, vocabulary(path, pattern))
+
+    def encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +44,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lean() -> None:
-    """Makes a Python worker give freed arrays and batches back at once; workers share their executor's memory."""
+#: What operators remember from task to task; another operator in the same worker forgets it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+@contextlib.contextmanager
+def lean(owner: str = "") -> Iterator[None]:
+    """A task that gives freed arrays and batches back at once, and at its end all it can.
+
+    Workers share their executor's memory and are used again for other tasks.
+    """
+    for name, forget in REMEMBERED.items():
+        if name != owner:
+            forget()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        libc = None
     if pa.default_memory_pool().backend_name != "system":
         pa.set_memory_pool(pa.system_memory_pool())
-        with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
-            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    try:
+        yield
+    finally:
+        if libc is not None:
+            libc.malloc_trim(0)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +99,12 @@ def chunks(ids: np.ndarray, raw: np.ndarray, at: np.ndarray, limit: int = CHUNK_
 
 def documents_in(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """doc_id, bytes and offsets of (doc_id, text) batches, chunk by chunk."""
-    lean()
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        raw, at = text_buffer(batch.column("text"))
-        for i, j, b, o in chunks(ids, raw, at, limit):
-            yield ids[i:j], b, o
+    with lean():
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            raw, at = text_buffer(batch.column("text"))
+            for i, j, b, o in chunks(ids, raw, at, limit):
+                yield ids[i:j], b, o
 
 
 # ---------------------------------------------------------------- hashing

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, components, documents_in, mix, partitions, prefix_hash, spans_hash, stored, words_in
+from .common import NOT_BLANK, components, documents_in, lean, mix, partitions, prefix_hash, spans_hash, stored, words_in
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -154,6 +154,11 @@ def _leaf_links(ids: np.ndarray, sketch: np.ndarray) -> tuple[list[int], list[in
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with lean():
+        yield from _leaves(batches)
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts rows sorted by node into leaves and emits their candidate links."""
     key = np.zeros(0, np.int64)
     ids, sketch = key, np.zeros((0, COORDINATES), np.uint8)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +126,14 @@ def _found(rows: tuple[list[int], list[bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], ["group", "blob"])
 
 
+def _leanly(run: Callable) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from run(batches)
+
+    return task
+
+
 def _per_document(columns: int):
     """One row for each document from the packed answers; one group after another."""
 
@@ -153,7 +161,7 @@ def _per_document(columns: int):
         if held:
             yield from flush()
 
-    return run
+    return _leanly(run)
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -247,7 +255,7 @@ def _shared_anchors(buckets: int):
         if out:
             yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
 
-    return run
+    return _leanly(run)
 
 
 def _send_pieces(width: int, gram: int, cut: int, buckets: int):
@@ -286,7 +294,6 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
         text: list[np.ndarray] = []
         cols: list[tuple] = []
         held = 0
-        lean()
         for batch in batches:
             k, shared = 0, batch.column("shared")
             for ids, b, at in documents_in([batch.select(["doc_id", "text"])]):
@@ -314,7 +321,7 @@ def _send_pieces(width: int, gram: int, cut: int, buckets: int):
         if cols:
             yield from flush(text, cols)
 
-    return run
+    return _leanly(run)
 
 
 def repeated(b: np.ndarray, suffixes: np.ndarray, groups: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -433,7 +440,6 @@ def _sort_pieces(width: int, buckets: int):
                 yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
                 out, count = [], 0
 
-        lean()
         grown = zstandard.ZstdDecompressor()
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
@@ -451,7 +457,7 @@ def _sort_pieces(width: int, buckets: int):
                 held.append((np.frombuffer(grown.decompress(raw[at:]), np.uint8), np.cumsum(h, dtype=np.uint64), doc.astype(np.int64) + base, start.astype(np.int64), np.cumsum(size) - size, size))
         yield from gathered(True)
 
-    return run
+    return _leanly(run)
 
 
 def _union(spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
