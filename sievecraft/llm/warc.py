@@ -68,7 +68,8 @@ def write_archives(pages: DataFrame, path: str, records_a_file: int = 4000) -> s
             yield pa.RecordBatch.from_arrays([pa.array([record(p, u, h or "", d, None if f is None or f == p else f) for p, u, h, d, f in zip(*cols, strict=True)], pa.string())], ["value"])
 
     known = pages.select("page_id", "url", "html").mapInArrow(hashed, "page_id long, url string, html string, digest string")
-    firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = known.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = stored(firsts, "warc-firsts")  # its size is known then, and where it is small no page has to be shuffled
     known.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(written, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).text(path)
     return path
 
