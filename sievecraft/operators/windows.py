@@ -13,12 +13,21 @@ def collapsed(items: Column) -> Column:
 
 
 def history(df: DataFrame, by: list[str], order: list[str], item: str, last: int, name: str = "history") -> DataFrame:
-    """The last so many distinct steps before each row, numbered from their place in the whole."""
+    """The last so many distinct steps before each row, numbered from their place in the whole.
+
+    Only rows that change the step are looked back at, through a frame of `last` rows, and
+    every row takes the state of the change before it: linear in an episode's length.
+    """
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    steps = collapsed(F.collect_list(item).over(before))
-    first = F.greatest(F.lit(1), F.size("__steps") - last + 1)
-    numbered = F.transform(F.slice("__steps", first, F.lit(last)), lambda x, i: F.concat(F.lit("Step "), (first + i).cast("string"), F.lit(". "), x))
-    return df.withColumn("__steps", steps).withColumn(name, F.array_join(numbered, " ")).drop("__steps")
+    step = F.when(F.coalesce(item, F.lit("")) != "", F.col(item))
+    marked = df.withColumn("__prev", F.last(step, ignorenulls=True).over(before)).withColumn("__new", step.isNotNull() & ~step.eqNullSafe(F.col("__prev")))
+    marked = marked.withColumn("__done", F.coalesce(F.sum(F.col("__new").cast("int")).over(before), F.lit(0))).drop("__prev")
+    recent = Window.partitionBy(*by).orderBy("__at").rowsBetween(1 - last, 0)
+    steps = marked.where("__new").select(*by, (F.col("__done") + 1).alias("__at"), F.col(item).alias("__step")).withColumn("__steps", F.collect_list("__step").over(recent))
+    first = F.col("__done") - F.size("__steps") + 1
+    numbered = F.transform("__steps", lambda x, i: F.concat(F.lit("Step "), (first + i).cast("string"), F.lit(". "), x))
+    joined = marked.join(steps.select(*by, F.col("__at").alias("__done"), "__steps"), [*by, "__done"], "left")
+    return joined.withColumn(name, F.coalesce(F.array_join(numbered, " "), F.lit(""))).select(*df.columns, name)
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], item: str) -> DataFrame:
