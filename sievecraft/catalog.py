@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import boxes, corpus, samples, steps
+from .plans import agents, boxes, corpus, pages, resample, samples, screens, steps
 
 QUERIES = {}
 ORACLES = {}
-for _module in (boxes, corpus, samples, steps):
+for _module in (agents, boxes, corpus, pages, resample, samples, screens, steps):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -72,3 +72,24 @@ def packed(lengths: Column, budget: int) -> Column:
         return F.struct(F.concat(s["out"], F.array(sample)).alias("out"), sample.alias("sample"), used.alias("used"), (s["i"] + 1).alias("i"))
 
     return F.aggregate(lengths, start, add, lambda s: s["out"])
+
+
+def ranked(df: DataFrame, by: list[str], rank: Column, name: str = "rank") -> DataFrame:
+    """The place of each row in its group by a hex hash, from 1.
+
+    Groups are cut into 256 blocks by the hash's first two digits and block counts are
+    summed, so the rows of one large group are sorted by many tasks.
+    """
+    keyed = df.withColumn("__hash", rank).withColumn("__block", F.substring("__hash", 1, 2))
+    counts = keyed.groupBy(*by, "__block").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__block").orderBy("__hash"))
+    return keyed.withColumn("__inside", inside).join(before, [*by, "__block"]).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+
+
+def resampled(df: DataFrame, by: str, rank: Column, target: DataFrame) -> DataFrame:
+    """Each class with exactly the target's rows: whole copies, then the first rows by hash. target: by, n, target."""
+    placed = ranked(df, [by], rank, "__rank").join(target, by)
+    copies = F.floor(F.col("target") / F.col("n")) + (F.col("__rank") <= F.col("target") % F.col("n")).cast("long")
+    return placed.withColumn("__copies", copies).where("__copies > 0").select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))
