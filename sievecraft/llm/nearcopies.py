@@ -1,10 +1,11 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Each tree of the join branches documents by a few chosen minwise tokens of their shingle
-sets: documents that agree there meet in a node. Small nodes are compared exhaustively by
-sketches; in large ones the recursion goes on by further chosen tokens, laid out as a sort
-order, so that its leaves are runs of a globally sorted table and no node has to fit a
-task. Candidates are confirmed on full sets, and links make classes.
+sets: documents that agree there meet in a node. A first round goes on by further chosen
+tokens, laid out as a sort order whose runs are leaves, and confirms on full sets a few of
+each leaf's likeliest pairs; these links make classes. A second round compares by sketches
+all documents of a node that aren't in one class yet, large nodes block against block, and
+confirms every likely pair.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ COORDINATES = 64
 TREES = 12
 #: Most documents that a leaf compares exhaustively, and how many of them the next leaf of the same node sees again.
 LEAF, OVERLAP = 192, 16
+#: Documents of a block: a node of more is compared block against block, so that none has to fit a task.
+BLOCK = 512
+#: Pairs whose sketches are compared at once.
+_PAIRS = 1 << 17
+#: Elements of sets that are looked up at once.
+_ELEMENTS = 1 << 20
 _LOW, _HIGH = 36, 60  # of 64 equal sketch bytes: may be linked, and almost surely is
 _DEEPER = 3
 
@@ -47,6 +54,7 @@ def _roots() -> list[tuple[int, int]]:
 
 
 ROOTS = _roots()
+_ROOT_COORDINATES = np.array([x[1] for x in ROOTS])
 
 
 def shingle_sets(b: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +91,8 @@ def minwise(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def root_keys(signature: np.ndarray) -> np.ndarray:
     """The node below each root branch."""
-    c = np.array([x[1] for x in ROOTS])
     salt = np.array([x[0] * 1000 + x[1] + 1 for x in ROOTS], np.uint64)
-    return mix(signature[:, c].astype(np.uint64) + (salt << np.uint64(32))).view(np.int64)
+    return mix(signature[:, _ROOT_COORDINATES].astype(np.uint64) + (salt << np.uint64(32))).view(np.int64)
 
 
 def _signatures(documents: DataFrame, words: int) -> DataFrame:
@@ -126,7 +133,7 @@ def _forest(m: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _leaf_links(ids: np.ndarray, sketch: np.ndarray) -> tuple[list[int], list[int]]:
-    """Candidate links of a leaf: enough of the likely pairs to reach all that are linked in it.
+    """First candidate links of a leaf, for remaining_links to have few pairs of different classes.
 
     The first forest has the likeliest pair across each cut; two more, on what sketches
     leave in doubt, stand in where full sets refute it.
@@ -216,10 +223,9 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def candidate_links(signatures: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of likely links between representatives (doc_id, signature, roots)."""
-    spark = signatures.sparkSession
-    branches = signatures.select("doc_id", F.explode("roots").alias("key"))
+def meetings(signatures: DataFrame) -> DataFrame:
+    """Representatives (doc_id, signature, roots) by the nodes where they meet others, with further tokens, sketch and the tokens of all roots."""
+    branches = signatures.select("doc_id", F.posexplode("roots").alias("root", "key"))
     shared = branches.groupBy("key").count().where("count > 1").select("key")
     met = branches.join(shared, "key").join(signatures.select("doc_id", "signature"), "doc_id")
 
@@ -231,15 +237,80 @@ def candidate_links(signatures: DataFrame) -> DataFrame:
             key = batch.column("key").to_numpy()
             seed = mix(key.view(np.uint64).copy())
             steps = [s[np.arange(len(s)), ((seed >> np.uint64(8 * i)) & np.uint64(COORDINATES - 1)).astype(np.int64)].view(np.int32) for i in range(_DEEPER)]
-            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(s), [None, pa.py_buffer(s.astype(np.uint8).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, steps), batch.column("doc_id"), rows], ["key", "p0", "p1", "p2", "doc_id", "sketch"])
+            rows = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.nbytes // len(s)), len(s), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (s.astype(np.uint8), s[:, _ROOT_COORDINATES])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, steps), batch.column("doc_id"), batch.column("root"), *rows], ["key", "p0", "p1", "p2", "doc_id", "root", "sketch", "tokens"])
 
+    return met.mapInArrow(paths, "key long, p0 int, p1 int, p2 int, doc_id long, root int, sketch binary, tokens binary")
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of likely links, a few for each document of the nodes."""
     order = ["key", "p0", "p1", "p2", "doc_id"]
-    nodes = stored(met.mapInArrow(paths, "key long, p0 int, p1 int, p2 int, doc_id long, sketch binary"), "nodes")
-    ranged = nodes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = nodes.select(*order, "sketch").repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(_compare, "a long, b long").where("a < b").distinct()
 
 
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with lean():
+        yield from _blocks(batches)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All likely links between different classes in rows sorted by (key, lo, hi, block), each in the first node where its two meet."""
+
+    def links(c: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.diff(bounds)
+        at = np.arange(bounds[-1])
+        end = np.repeat(bounds[1:], size)
+        other = (c["lo"] < c["hi"]) & (c["block"] == c["hi"])  # the second of two blocks
+        second = np.repeat(bounds[1:] - np.add.reduceat(other, bounds[:-1], dtype=np.int64), size)
+        first = np.where(other, end, np.where(c["lo"] < c["hi"], second, at + 1))
+        done = np.concatenate([[0], np.cumsum(end - first)])
+        s = 0
+        while s < len(at):
+            e = max(s + 1, int(np.searchsorted(done, done[s] + _PAIRS, "right")) - 1)
+            i = np.repeat(at[s:e], (end - first)[s:e])
+            j = first[i] + np.arange(done[s], done[e]) - done[i]
+            ok = c["label"][i] != c["label"][j]
+            i, j = i[ok], j[ok]
+            ok = (c["sketch"][i] == c["sketch"][j]).sum(1) >= _LOW
+            i, j = i[ok], j[ok]
+            ok = (c["tokens"][i] == c["tokens"][j]).argmax(1) == c["root"][i]
+            x, y = c["doc_id"][i[ok]], c["doc_id"][j[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            s = e
+
+    names = ["key", "lo", "hi", "block", "doc_id", "root", "label"]
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = {x: batch.column(x).to_numpy() for x in names}
+        for x, kind in (("sketch", np.uint8), ("tokens", np.uint32)):
+            new[x] = np.frombuffer(b"".join(batch.column(x).to_pylist()), kind).reshape(batch.num_rows, -1)
+        held = {x: np.concatenate([held[x], new[x]]) for x in new} if held else new
+        bounds = np.flatnonzero(np.append(True, (np.diff(held["key"]) != 0) | (np.diff(held["lo"]) != 0) | (np.diff(held["hi"]) != 0)))
+        if len(bounds) > 1:
+            yield from links({x: v[: bounds[-1]] for x, v in held.items()}, bounds)
+            held = {x: v[bounds[-1] :] for x, v in held.items()}
+    if held:
+        yield from links(held, np.array([0, len(held["key"])]))
+
+
+def remaining_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of likely links that meet in a node and aren't in one class (node, component) yet."""
+    label = F.coalesce("component", "doc_id").alias("label")
+    rows = nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "root", label, "sketch", "tokens")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where(f"least < most and n <= {LEAF}")
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "root", "label", "sketch", "tokens")
+    order = ["key", "lo", "hi"]
+    dealt = rows.repartition(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order, "block")
+    return dealt.mapInArrow(_compare_blocks, "a long, b long")
+
+
 def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """The candidate links (a, b) whose full shingle sets are similar enough."""
     spark = documents.sparkSession
@@ -254,20 +325,85 @@ def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, simila
                 yield pa.RecordBatch.from_arrays([column.slice(k, len(ids)), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
                 k += len(ids)
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = _unpack(x.as_py()), _unpack(y.as_py())
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     texts = documents.select("doc_id", "text").repartition(partitions(spark), "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
     full = texts.mapInArrow(sets, "doc_id long, shingles binary")
-    one = links.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    # pairs are dealt by a square of doc_id hashes, and each set goes once to a cell that needs it
+    cell = [F.pmod(F.xxhash64(x), F.lit(partitions(spark))).alias(y) for x, y in (("a", "x"), ("b", "y"))]
+    pairs = links.select(*cell, "a", "b")
+    members = pairs.select("x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(full, "doc_id")
+    rows = members.select("x", "y", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
+    rows = rows.unionByName(pairs.select("x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    dealt = rows.repartition(partitions(spark), "x", "y").sortWithinPartitions("x", "y", "kind", "a", "b")
+    return dealt.mapInArrow(_similar(similarity), "a long, b long")
+
+
+def _similar(similarity: int):
+    """Of (x, y, kind, a, b, shingles) rows, sorted, where each cell's sets (kind 0) precede its pairs: the pairs similar enough."""
+
+    def cell(ids: list[np.ndarray], packed: list[bytes]) -> tuple[np.ndarray, ...]:
+        ranks = np.unique(_unpack(b"".join(packed)), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum([len(x) // 6 for x in packed])])
+        return np.concatenate(ids), ranks, at, np.zeros(int(ranks.max()) + 1, bool)
+
+    def shared(ranks: np.ndarray, at: np.ndarray, held: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+        """How many elements set i has in common with each other."""
+        own = ranks[at[i] : at[i + 1]]
+        held[own] = True
+        size = at[others + 1] - at[others]
+        done = np.concatenate([[0], np.cumsum(size)])
+        out, s = [], 0
+        while s < len(others):
+            e = max(s + 1, int(np.searchsorted(done, done[s] + _ELEMENTS, "right")) - 1)
+            places = np.repeat(at[others[s:e]] - done[s:e], size[s:e]) + np.arange(done[s], done[e])
+            out.append(np.add.reduceat(held[ranks[places]], done[s:e] - done[s], dtype=np.int64))
+            s = e
+        held[own] = False
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, packed, known = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, kind, a, b = (batch.column(c).to_numpy() for c in ("x", "y", "kind", "a", "b"))
+            bounds = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(kind) != 0), [True]]))
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if kind[lo] == 0:
+                    if now != (x[lo], y[lo]):
+                        now, ids, packed, known = (x[lo], y[lo]), [], [], None
+                    ids.append(a[lo:hi])
+                    packed += batch.column("shingles").slice(lo, hi - lo).to_pylist()
+                    continue
+                if known is None:
+                    known = cell(ids, packed)
+                    packed = []
+                who, ranks, at, held = known
+                i, j = np.searchsorted(who, a[lo:hi]), np.searchsorted(who, b[lo:hi])
+                runs = np.flatnonzero(np.concatenate([[True], np.diff(i) != 0, [True]]))
+                for s, e in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+                    both = shared(ranks, at, held, int(i[s]), j[s:e])
+                    either = at[i[s] + 1] - at[i[s]] + at[j[s:e] + 1] - at[j[s:e]] - both
+                    keep[lo + s : lo + e] = 100 * both >= similarity * either
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from run(batches)
+
+    return leanly
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (node, component) after further links (a, b)."""
+    links = stored(links, "late")
+    alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti")
+    classes = stored(classes.unionByName(alone.withColumn("component", F.col("node"))), "early")
+    for end in ("a", "b"):
+        links = links.join(classes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end)
+    merged = components(links.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")), "near-late")
+    after = classes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("after")), "component", "left")
+    return after.select("node", F.coalesce("after", "component").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -284,8 +420,12 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int =
     classes = rows.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"))
     firsts = classes.where(F.col("first").isNotNull()).select(F.col("first").alias("doc_id"))
     representatives = rows.where("n_shingles > 0").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = stored(candidate_links(representatives.select("doc_id", "signature", "roots")), "candidates")
+    nodes = stored(meetings(representatives.select("doc_id", "signature", "roots")), "nodes")
+    links = stored(candidate_links(nodes), "candidates")
     found = components(confirmed(links, documents, words, similarity), "near")
+    rest = stored(remaining_links(nodes, found).join(links, ["a", "b"], "left_anti"), "remaining")
+    if not rest.isEmpty():
+        found = _joined(found, confirmed(rest, documents, words, similarity))
     joined = rows.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
     joined = joined.withColumn("own", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")))
     joined = joined.join(found.withColumnRenamed("node", "own"), "own", "left")

@@ -188,6 +188,24 @@ def test_a_large_node_of_near_copies_is_one_class(spark):
     assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
 
 
+def family(rng, n, shared, own, twins):
+    """Texts of one template with `shared` of shared + own shingles in common; two and two have `twins` more."""
+    template = [f"t{i}" for i in range(shared + 4)]
+    texts = {}
+    for i in range(n):
+        pair = [f"p{i // 2}w{k}" for k in range(twins)]
+        texts[i] = " ".join(template + pair + [f"o{i}w{k}" for k in range(own - twins)])
+    ids = list(range(n))
+    rng.shuffle(ids)
+    return {ids[i]: t for i, t in texts.items()}
+
+
+def test_true_pairs_in_a_family_just_below_the_threshold(spark):
+    texts = family(random.Random(12), 150, 140, 30, 7)  # 0.70, and 75 pairs of 0.76
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(df).collect()}
