@@ -301,7 +301,7 @@ def remaining_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs (a, b) of likely links that meet in a node and aren't in one class (node, component) yet."""
     label = F.coalesce("component", "doc_id").alias("label")
     rows = nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "root", label, "sketch", "tokens")
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where(f"least < most and n <= {LEAF}")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -206,6 +206,16 @@ def test_true_pairs_in_a_family_just_below_the_threshold(spark):
     assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
 
 
+def test_true_pairs_in_a_large_node(spark):
+    texts = family(random.Random(13), 1200, 130, 35, 14)  # 0.65, and 600 pairs of 0.77; all meet in nodes of more than two blocks
+    assert len(texts) > 2 * nearcopies.BLOCK
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i].split()[134], i)
+    assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: first[t.split()[134]] for i, t in texts.items()}
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(df).collect()}
