@@ -2,7 +2,8 @@
 
 A template is any callable from turns [(role, text)] to a string. Rendering successive
 prefixes and comparing consecutive outputs shows where each turn lies; two probes that
-differ in the last text alone show where its content starts and ends.
+differ in the last text alone show where its content starts and ends. A template whose
+output for a + b is always that for a and that for b says so by `concatenative = True`.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def unescape(text: str) -> str:
 class TurnTemplate:
     """`### Role: text</turn>` a turn. Other roles than the three are written as @role."""
 
+    concatenative = True
+
     def __call__(self, turns: Turns) -> str:
         return "".join(f"### {self.label(role)}: {escape(text)}</turn>\n" for role, text in turns)
 
@@ -82,7 +85,24 @@ def locate(template: Template, turns: Turns) -> tuple[str, list[dict]]:
     return before, spans
 
 
-#: Turns whose prefixes are rendered together; keeps the work linear in a long conversation.
+def final_contents(template: Template, turns: Turns, output: str, spans: list[dict]) -> list[tuple[int, int]]:
+    """Where each turn's content lies in the final output; an empty span where the output doesn't depend on its text.
+
+    Turns before any change of history keep their spans, others are probed in the whole conversation.
+    """
+    out, untouched = [], len(output)
+    for i in range(len(turns) - 1, -1, -1):
+        start, end = spans[i]["content_start"], spans[i]["content_end"]
+        if untouched < end:
+            ones = [template([*turns[:i], (turns[i][0], probe), *turns[i + 1 :]]) for probe in ("a", "b")]
+            start = _common(*ones)
+            end = start if ones[0] == ones[1] else len(output) - _common(ones[0][::-1], ones[1][::-1])
+        out.append((start, end))
+        untouched = min(untouched, spans[i]["start"])
+    return out[::-1]
+
+
+#: Turns whose prefixes are rendered together where the template is concatenative; keeps the work linear in a long conversation.
 BLOCK = 32
 
 
@@ -91,26 +111,29 @@ def format_conversations(df: DataFrame, template: Template, read: Callable[[str]
 
     Rows go by turn, then role and text; null texts and roles are empty, a null conv_id is
     one more conversation, repeated rows are repeated turns. The turns come to a task
-    sorted and are read as a stream, `block` turns at a time, so a conversation of any
-    length takes bounded memory. Gives conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars, rewrites (whether the template rewrote history) and, on
-    request, output and loss_spans (start and end pairs in it, for conversations that fit memory).
+    sorted and are read as a stream. A template that declares itself concatenative renders
+    `block` turns at a time, so a conversation of any length takes bounded memory; any other
+    renders the prefixes of whole conversations, which takes quadratic time. Gives conv_id,
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites (whether the
+    template rewrote history) and, on request, output and loss_spans (start and end pairs in it, for conversations that fit memory).
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean" + ", output string, loss_spans array<array<long>>" * keep
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict | None = None
+        blocks = getattr(template, "concatenative", False)
 
         def flush(s: dict) -> None:
             output, spans = locate(template, s["turns"])
-            for x, (role, _) in zip(spans, s["turns"], strict=True):
+            contents = final_contents(template, s["turns"], output, spans)
+            for x, (start, end), (role, _) in zip(spans, contents, s["turns"], strict=True):
                 s["rewrites"] |= x["rewrites"]
                 if role == "assistant":
-                    text = unescaped(output[x["content_start"] : x["content_end"]])
+                    text = unescaped(output[start:end])
                     s["loss"] += len(text)
                     s["loss_sha"].update(text.encode())
                     if keep:
-                        s["spans"].append([s["chars"] + x["content_start"], s["chars"] + x["content_end"]])
+                        s["spans"].append([s["chars"] + start, s["chars"] + end])
             for role, text in read(output):
                 s["n"] += 1
                 s["sha"].update(f"{role}\n{text}\n".encode())
@@ -134,7 +157,7 @@ def format_conversations(df: DataFrame, template: Template, read: Callable[[str]
                         rows.append(done(state))
                     state = {"id": key, "n": 0, "sha": hashlib.sha256(), "loss": 0, "loss_sha": hashlib.sha256(), "chars": 0, "rewrites": False, "turns": [], "out": [], "spans": []}
                 state["turns"].append((role, text))
-                if len(state["turns"]) >= block:
+                if blocks and len(state["turns"]) >= block:
                     flush(state)
             if rows:
                 yield _frame(rows, columns)

@@ -245,6 +245,22 @@ def test_rewritten_history_is_detected():
     assert [x["rewrites"] for x in spans] == [False, False, True]
 
 
+def test_any_template_sees_whole_conversations(spark):
+    def headed(turns):
+        return "[start]\n" + "".join(f"<{i}:{r}>{t}\n" for i, (r, t) in enumerate(turns))
+
+    def last_answers(turns):
+        late = [i for i, (r, _) in enumerate(turns) if r == "assistant"][-20:]
+        return "".join(f"<{i}:{r}>{t if r == 'user' or i in late else '...'}\n" for i, (r, t) in enumerate(turns))
+
+    turns = [("user" if i % 2 == 0 else "assistant", f"text{i}") for i in range(70)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template, answers, rewrites in ((headed, [t for r, t in turns if r == "assistant"], False), (last_answers, [t for r, t in turns if r == "assistant"][-20:], True)):
+        r = chat.format_conversations(df, template, lambda out: re.findall(r"<\d+:(\w+)>(.*)", out), str, keep=True).collect()[0]
+        assert r.output == template(turns) and r.formatted_chars == len(r.output) and r.n_turns == 70 and r.rewrites == rewrites
+        assert [r.output[s:e] for s, e in r.loss_spans if s < e] == answers and r.loss_sha256 == hashlib.sha256("".join(answers).encode()).hexdigest()
+
+
 def test_codewords_and_language(spark, none):
     for n in (2, 4, 9):
         c = nearcodes = language.codewords(n)
