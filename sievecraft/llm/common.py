@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests) is one set here.
+    Only where the session has no such setting and all runs on this machine is one set here;
+    a cluster without one is an error, as each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -156,6 +160,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A random 64-bit value for each byte at each of 64 places of a block.
+_PLACED = _rng.integers(0, 1 << 64, (64, 256), dtype=np.uint64)
+_PLACED_LOWER = _PLACED.copy()
+_PLACED_LOWER[:, 65:91] = _PLACED[:, 97:123]
+
+
+def words_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words starts..ends of b, which lie apart in order, by tabulation.
+
+    A word's blocks of 64 bytes are sums of random values by place and byte; each is spread
+    with its number and length before they are added up, so that no structure of the bytes
+    (as that which defeats polynomials modulo 2**64) makes different words meet.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    blocks = (size + 63) >> 6
+    word = np.repeat(np.arange(len(starts)), blocks)
+    number = np.arange(len(word)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    lo = starts[word] + 64 * number
+    n = np.minimum(ends[word] - lo, 64)
+    done = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(done, n)
+    value = (_PLACED_LOWER if lower else _PLACED)[place, b[place + np.repeat(lo, n)]]
+    h = np.bitwise_xor.reduceat(value, done)
+    h = mix(h + (number * 64 + n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if len(word) == len(starts):
+        return h
+    total = np.add.reduceat(h, np.cumsum(blocks) - blocks)
+    return np.where(blocks > 1, mix(total + size.astype(np.uint64)), total)
+
+
+def equal_spans(b: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """Whether the bytes x..x+size and y..y+size of b are the same; about `limit` bytes at a time."""
+    out, done, s = np.ones(len(x), bool), np.concatenate([[0], np.cumsum(size)]), 0
+    while s < len(x):
+        e = max(s + 1, int(np.searchsorted(done, done[s] + limit, "right")) - 1)
+        step = np.arange(done[s], done[e]) - np.repeat(done[s:e], size[s:e])
+        same = b[np.repeat(x[s:e], size[s:e]) + step] == b[np.repeat(y[s:e], size[s:e]) + step]
+        some = size[s:e] > 0
+        if some.any():
+            out[s:e][some] = np.logical_and.reduceat(same, (done[s:e] - done[s])[some])
+        s = e
+    return out
+
+
 def byte_class(pattern_bytes: Iterable[int]) -> np.ndarray:
     t = np.zeros(256, bool)
     t[list(pattern_bytes)] = True
@@ -190,7 +240,9 @@ def components(edges: DataFrame, name: str = "links", most: int = 60) -> DataFra
 
     Each round takes the smallest label among neighbours and then the label's own label
     (pointer jumping); rounds are written to the shared folder, and all work is joins and
-    pre-aggregated minima, so no group is ever gathered.
+    pre-aggregated minima, so no group is ever gathered. A label's reach about doubles each
+    round, so rounds go with the logarithm of a component's diameter; `most` only stops
+    what never settles, with an error, and drops nothing.
     """
     both = stored(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
     both = both.select("a", "b").union(both.select(F.col("b"), F.col("a")))

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, components, documents_in, lean, mix, partitions, prefix_hash, spans_hash, stored, words_in
+from .common import NOT_BLANK, components, documents_in, equal_spans, lean, mix, partitions, stored, words_hash, words_in
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -29,13 +30,17 @@ TREES = 12
 LEAF, OVERLAP = 192, 16
 #: Documents of a block: a node of more is compared block against block, so that none has to fit a task.
 BLOCK = 512
+#: Places where the copies of one set are looked up.
+_SALTS = 32
 #: Pairs whose sketches are compared at once.
 _PAIRS = 1 << 17
 #: Elements of sets that are looked up at once.
 _ELEMENTS = 1 << 20
-_LOW, _HIGH = 36, 60  # of 64 equal sketch bytes: may be linked, and almost surely is
+_LOW, _HIGH = 32, 60  # of 64 equal sketch bytes: may be linked, and almost surely is
 _DEEPER = 3
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _rng = np.random.default_rng(4)
 _ODD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -60,7 +65,7 @@ _ROOT_COORDINATES = np.array([x[1] for x in ROOTS])
 def shingle_sets(b: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text, and their offsets."""
     starts, ends, bounds = words_in(b, at, NOT_BLANK)
-    h = spans_hash(prefix_hash(b, lower=True), starts, ends)
+    h = words_hash(b, starts, ends, lower=True)
     n = np.diff(bounds)
     sets: list[np.ndarray] = []
     if len(h) >= words:
@@ -212,15 +217,44 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]))
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    """48 bits of each hash: enough to tell apart what two documents hold."""
-    return np.unique(hashes & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def plain(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text, A-Z in lower case, with one blank after each; and the texts' offsets."""
+    starts, ends, bounds = words_in(b, at, NOT_BLANK)
+    size = ends - starts
+    place = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(place[-1], 0x20, np.uint8)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[step + np.repeat(place[:-1], size)] = _LOWER[b[step + np.repeat(starts, size)]]
+    return out, place[bounds]
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def exact_sets(b: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of each plain text, and their offsets; equal numbers are equal bytes."""
+    starts, ends, bounds = words_in(b, at, NOT_BLANK)
+    n = np.diff(bounds)
+    per = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    text = np.repeat(np.arange(len(n)), per)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per) + bounds[:-1][text]
+    last = np.minimum(first + words, bounds[1:][text]) - 1
+    h = words_hash(b, starts, ends)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0xD6E8FEB86659FD93)))])
+    key = mix(h[first] + mix(h[last])) + total[last + 1] - total[first] if len(first) else h[:0]
+    lo, size = starts[first], ends[last] - starts[first]
+    order = np.lexsort((size, key))
+    new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(size[order]) != 0))[: len(order)]
+    rank = np.cumsum(new) - 1
+    head = order[np.flatnonzero(new)][rank] if len(order) else order
+    same = equal_spans(b, lo[head], lo[order], size[order])
+    for r in np.unique(rank[~same]).tolist():  # chance meetings of hashes, told apart by their bytes
+        own: dict[bytes, int] = {}
+        for k in np.flatnonzero(rank == r).tolist():
+            i = order[k]
+            rank[k] = own.setdefault(b[lo[i] : lo[i] + size[i]].tobytes(), r if not own else len(order) + r * len(order) + len(own))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.unique(rank, return_inverse=True)[1]
+    most = int(number.max()) + 1 if len(number) else 1
+    pairs = np.unique(text * most + number)
+    return pairs % most, np.searchsorted(pairs // most, np.arange(len(n) + 1))
 
 
 def meetings(signatures: DataFrame) -> DataFrame:
@@ -312,38 +346,40 @@ def remaining_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """The candidate links (a, b) whose full shingle sets are similar enough."""
+    """The candidate links (a, b) whose full shingle sets, compared byte by byte, are similar enough."""
     spark = documents.sparkSession
     wanted = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             column, k = batch.column("doc_id"), 0
             for ids, b, at in documents_in([batch]):
-                hashes, offsets = shingle_sets(b, at, words)
-                packed = [_pack(hashes[offsets[i] : offsets[i + 1]]) for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([column.slice(k, len(ids)), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
+                out, places = plain(b, at)
+                packed = [small.compress(out[lo:hi].tobytes()) for lo, hi in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([column.slice(k, len(ids)), pa.array(packed, pa.binary())], ["doc_id", "words"])
                 k += len(ids)
 
     texts = documents.select("doc_id", "text").repartition(partitions(spark), "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    full = texts.mapInArrow(sets, "doc_id long, shingles binary")
-    # pairs are dealt by a square of doc_id hashes, and each set goes once to a cell that needs it
+    full = texts.mapInArrow(sets, "doc_id long, words binary")
+    # pairs are dealt by a square of doc_id hashes, and each text goes once to a cell that needs it
     cell = [F.pmod(F.xxhash64(x), F.lit(partitions(spark))).alias(y) for x, y in (("a", "x"), ("b", "y"))]
     pairs = links.select(*cell, "a", "b")
     members = pairs.select("x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(full, "doc_id")
-    rows = members.select("x", "y", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
-    rows = rows.unionByName(pairs.select("x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    rows = members.select("x", "y", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "words")
+    rows = rows.unionByName(pairs.select("x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("words")))
     dealt = rows.repartition(partitions(spark), "x", "y").sortWithinPartitions("x", "y", "kind", "a", "b")
-    return dealt.mapInArrow(_similar(similarity), "a long, b long")
+    return dealt.mapInArrow(_similar(words, similarity), "a long, b long")
 
 
-def _similar(similarity: int):
-    """Of (x, y, kind, a, b, shingles) rows, sorted, where each cell's sets (kind 0) precede its pairs: the pairs similar enough."""
+def _similar(words: int, similarity: int):
+    """Of (x, y, kind, a, b, words) rows, sorted, where each cell's texts (kind 0) precede its pairs: the pairs similar enough."""
 
     def cell(ids: list[np.ndarray], packed: list[bytes]) -> tuple[np.ndarray, ...]:
-        ranks = np.unique(_unpack(b"".join(packed)), return_inverse=True)[1]
-        at = np.concatenate([[0], np.cumsum([len(x) // 6 for x in packed])])
-        return np.concatenate(ids), ranks, at, np.zeros(int(ranks.max()) + 1, bool)
+        large = zstandard.ZstdDecompressor()
+        texts = [large.decompress(x) for x in packed]
+        ranks, at = exact_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), words)
+        return np.concatenate(ids), ranks, at, np.zeros(int(ranks.max(initial=0)) + 1, bool)
 
     def shared(ranks: np.ndarray, at: np.ndarray, held: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
         """How many elements set i has in common with each other."""
@@ -373,7 +409,7 @@ def _similar(similarity: int):
                     if now != (x[lo], y[lo]):
                         now, ids, packed, known = (x[lo], y[lo]), [], [], None
                     ids.append(a[lo:hi])
-                    packed += batch.column("shingles").slice(lo, hi - lo).to_pylist()
+                    packed += batch.column("words").slice(lo, hi - lo).to_pylist()
                     continue
                 if known is None:
                     known = cell(ids, packed)
@@ -417,7 +453,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int =
     doc_id represents nobody, and where nothing else is like it, its component is null.
     """
     rows = stored(_signatures(documents, words), "signatures")
-    classes = rows.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"))
+    classes = rows.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     firsts = classes.where(F.col("first").isNotNull()).select(F.col("first").alias("doc_id"))
     representatives = rows.where("n_shingles > 0").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nodes = stored(meetings(representatives.select("doc_id", "signature", "roots")), "nodes")
@@ -426,7 +462,10 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int =
     rest = stored(remaining_links(nodes, found).join(links, ["a", "b"], "left_anti"), "remaining")
     if not rest.isEmpty():
         found = _joined(found, confirmed(rest, documents, words, similarity))
-    joined = rows.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
-    joined = joined.withColumn("own", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")))
+    # only sets with copies are looked up, and one with very many copies in several places
+    copied = classes.where("n > 1").select("set_hi", "set_lo", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int").alias("salt")
+    joined = rows.select("doc_id", "n_shingles", "set_hi", "set_lo", salt).join(copied, ["set_hi", "set_lo", "salt"], "left")
+    joined = joined.withColumn("own", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")))
     joined = joined.join(found.withColumnRenamed("node", "own"), "own", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "own").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "own"), F.lit(False)).alias("kept"))
