@@ -1,10 +1,11 @@
 """Baseline JPEG as a lossless container of bytes, and its DC-only luminance thumbnail.
 
 The writer makes one grey 8x8 block for each byte: its DC coefficient (quantised by 8) is
-the byte less 128, and all AC coefficients are 0. The DC table gives category s a code of
-9 - s bits, so that code and extra bits of any difference take 9 bits, and end-of-block is
-one bit. The reader parses any baseline file's markers and tables; scans in which all
-symbols take equally many bits are decoded at once in numpy, others symbol by symbol.
+the byte less 128, and all AC coefficients are 0. Differences have the usual Huffman codes
+of DC categories, 2 to 6 bits and the category's extra bits, and each row of 64 blocks is a
+restart interval. The reader parses any baseline file's markers and tables, interleaved or
+not, and Huffman-decodes all restart intervals of many files in lockstep: at each step numpy
+looks up the next code of every interval by its next 16 bits.
 """
 
 from __future__ import annotations
@@ -13,139 +14,162 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean, text_buffer
+
 WIDTH = 64  # blocks in a row
 MOST_ROWS = 8191  # blocks in a column: 65,528 pixels
 _FRAME = WIDTH * MOST_ROWS
+#: Bytes of text whose media are written and read together.
+_TOGETHER = 1 << 18
 
 
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-# codes of 1..9 bits, one each, for categories 8..0; the all-ones code stays free
-_DC = bytes([0x00] + [1] * 9 + [0] * 7 + list(range(8, -1, -1)))
-_AC = bytes([0x10, 1] + [0] * 15 + [0x00])
-_TABLES = _segment(0xDB, bytes([0] + [8] * 64)) + _segment(0xC4, _DC) + _segment(0xC4, _AC)
-
-
-def _words() -> np.ndarray:
-    """The 10 bits of each difference -255..255: code, extra bits, end of block."""
-    d = np.arange(-255, 256)
-    s = np.array([int(abs(x)).bit_length() for x in d])
-    code = (1 << (9 - s)) - 2  # 0, 10, 110, ...: one code of each length
-    extra = np.where(d >= 0, d, d + (1 << s) - 1)
-    return ((((code << s) | extra) << 1)).astype(np.uint64)
+# fixed values of the JPEG standard's luminance DC table: how many codes have 1 to 16 bits, and the categories in order
+_DC_COUNTS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
+_DC_SYMBOLS = bytes(range(12))
+# one AC code, end of block
+_AC_COUNTS = bytes([1] + [0] * 15)
+_AC_SYMBOLS = bytes([0])
+_TABLES = _segment(0xDB, bytes([0] + [8] * 64)) + _segment(0xC4, b"\x00" + _DC_COUNTS + _DC_SYMBOLS) + _segment(0xC4, b"\x10" + _AC_COUNTS + _AC_SYMBOLS)
+_RESTART = _segment(0xDD, struct.pack(">H", WIDTH))
 
 
-_WORDS = _words()
-
-
-def encode(payload: bytes) -> bytes:
-    """A JPEG stream (frames one after another for long payloads) of a payload of 64 n bytes."""
-    if not payload or len(payload) % 64:
-        raise ValueError("the payload has a positive multiple of 64 bytes")
-    out = []
-    for lo in range(0, len(payload), _FRAME):
-        x = np.frombuffer(payload, np.uint8, min(_FRAME, len(payload) - lo), lo).astype(np.int16)
-        d = np.diff(x, prepend=np.int16(128))
-        w = _WORDS[d + 255].reshape(-1, 4)
-        w = (w[:, 0] << np.uint64(30)) | (w[:, 1] << np.uint64(20)) | (w[:, 2] << np.uint64(10)) | w[:, 3]
-        scan = w.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().replace(b"\xff", b"\xff\x00")
-        rows = len(x) // WIDTH
-        out += [
-            b"\xff\xd8",
-            _TABLES,
-            _segment(0xC0, struct.pack(">BHHBBBB", 8, rows * 8, WIDTH * 8, 1, 1, 0x11, 0)),
-            _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])),
-            scan,
-            b"\xff\xd9",
-        ]
-    return b"".join(out)
-
-
-def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
+def _codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
+    """Length and code of each symbol."""
     code, k, found = 0, 0, {}
     for n, count in enumerate(counts, 1):
         for _ in range(count):
-            found[n, code] = symbols[k]
+            found[symbols[k]] = n, code
             code, k = code + 1, k + 1
         code <<= 1
     return found
 
 
-def _lookup(codes: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and code length for each 16 bits; length 0 where no code starts."""
-    symbol, length = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
-    for (n, code), s in codes.items():
-        lo = code << (16 - n)
-        symbol[lo : lo + (1 << (16 - n))] = s
-        length[lo : lo + (1 << (16 - n))] = n
-    return symbol, length
-
-
-_known: dict[tuple, tuple] = {}
-
-
-def _uniform(dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]) -> tuple[int, np.ndarray] | None:
-    """Bits of a block and the difference for each such word, if all blocks take equally many."""
-    key = dc, ac
-    if key not in _known:
-        found = None
-        d, a = _codes(*dc), _codes(*ac)
-        sizes = {n + s for (n, _), s in d.items()}
-        if len(sizes) == 1 and len(a) == 1 and next(iter(a.values())) == 0 and (bits := sizes.pop() + next(iter(a))[0]) <= 16:
-            eob = next(iter(a))[0]
-            table = np.zeros(1 << bits, np.int32)
-            for (n, code), s in d.items():
-                for extra in range(1 << s):
-                    v = extra if not s or extra >> (s - 1) else extra - (1 << s) + 1
-                    table[((code << s) | extra) << eob] = v
-            found = bits, table
+def _words() -> tuple[np.ndarray, np.ndarray]:
+    """The bits of a block with each difference -255..255, left-aligned in 24, and how many: code, extra bits, end of block."""
+    codes, word, size = _codes(_DC_COUNTS, _DC_SYMBOLS), [], []
+    for d in range(-255, 256):
+        s = abs(d).bit_length()
+        n, code = codes[s]
+        bits = n + s + 1
+        word.append((((code << s) | (d if d >= 0 else d + (1 << s) - 1)) << 1) << (24 - bits))
+        size.append(bits)
+    return np.array(word, np.int64), np.array(size, np.int64)
+
+
+_WORD, _SIZE = _words()
+
+
+def _scans(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entropy-coded bytes of rows of 64 samples, and the offsets of the rows; a row is a restart interval of its own."""
+    rows = len(x) // WIDTH
+    level = x.reshape(rows, WIDTH).astype(np.int64)
+    d = level - np.concatenate([np.full((rows, 1), 128), level[:, :-1]], 1) + 255
+    size = _SIZE[d]
+    end = np.cumsum(size, 1)
+    length = -(-end[:, -1] // 8)
+    at = np.concatenate([[0], np.cumsum(length)])
+    bit = (at[:-1, None] * 8 + end - size).ravel()
+    # at most 15 bits, moved by up to 7, lie in three bytes; bits of different words don't overlap, so sums are unions
+    three = np.bincount(bit >> 3, weights=_WORD[d].ravel() >> (bit & 7), minlength=at[-1]).astype(np.int32)
+    out = (three >> 16).astype(np.uint8)
+    out[1:] |= (three[:-1] >> 8).astype(np.uint8)
+    out[2:] |= three[:-2].astype(np.uint8)
+    free = length * 8 - end[:, -1]  # the last byte of a row is filled with ones
+    out[at[1:] - 1] |= ((1 << free) - 1).astype(np.uint8)
+    return out, at
+
+
+def encode_all(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A JPEG stream (frames one after another for long payloads) for each payload of 64 n bytes; they lie side by side."""
+    if not (np.diff(at) > 0).all() or (at % WIDTH).any():
+        raise ValueError("a payload has a positive multiple of 64 bytes")
+    scan, rows = _scans(payload)
+    # a zero goes behind each 255, and a marker between the rows of a frame
+    full = scan == 0xFF
+    stuffed = np.cumsum(full) - full
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    place = np.arange(len(scan)) + stuffed + 2 * row
+    out = np.zeros(len(scan) + int(full.sum()) + 2 * (len(rows) - 1), np.uint8)
+    out[place] = scan
+    last = rows[1:] - 1
+    stop = place[last] + 1 + full[last]  # past each row's bytes, where its marker is
+    start = np.concatenate([[0], stop[:-1] + 2])
+    streams = []
+    for lo, hi in zip((at[:-1] // WIDTH).tolist(), (at[1:] // WIDTH).tolist(), strict=True):
+        parts = []
+        for first in range(lo, hi, MOST_ROWS):
+            past = min(first + MOST_ROWS, hi)
+            marks = stop[first : past - 1]
+            out[marks] = 0xFF
+            out[marks + 1] = 0xD0 + np.arange(len(marks)) % 8
+            frame = _segment(0xC0, struct.pack(">BHHBBBB", 8, (past - first) * 8, WIDTH * 8, 1, 1, 0x11, 0))
+            parts += [b"\xff\xd8", _TABLES, _RESTART, frame, _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])), out[start[first] : stop[past - 1]].tobytes(), b"\xff\xd9"]
+        streams.append(b"".join(parts))
+    return streams
+
+
+def encode(payload: bytes) -> bytes:
+    return encode_all(np.frombuffer(payload, np.uint8), np.array([0, len(payload)]))[0]
+
+
+_known: dict[tuple[bytes, bytes], np.ndarray] = {}
+
+
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
+    """symbol * 32 + code length for each 16 bits; 0 where no code starts."""
+    if (counts, symbols) not in _known:
+        table = np.zeros(1 << 16, np.int32)
+        for s, (n, code) in _codes(counts, symbols).items():
+            table[code << (16 - n) : (code + 1) << (16 - n)] = s * 32 + n
         if len(_known) > 64:
             _known.clear()
-        _known[key] = (found,)
-    return _known[key][0]
-
+        _known[counts, symbols] = table
+    return _known[counts, symbols]
 
-class _Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.padded = data, 0, data + b"\xff" * 4
 
-    def peek16(self) -> int:
-        k, o = divmod(self.at, 8)
-        return (int.from_bytes(self.padded[k : k + 3], "big") >> (8 - o)) & 0xFFFF
+@dataclass
+class _Frame:
+    """What the markers say of a frame, and the scan that has its first component."""
 
-    def take(self, n: int) -> int:
-        if not n:
-            return 0
-        v = self.peek16() >> (16 - n)
-        self.at += n
-        if self.at > 8 * len(self.data):
-            raise ValueError("the scan ends early")
-        return v
+    height: int = 0
+    width: int = 0
+    parts: list[tuple[int, int, int, int]] = field(default_factory=list)  # identifier, across, down, quantisation table
+    units: tuple = ()  # for each block of an MCU: whether it is the first component's, which component, DC and AC table
+    restart: int = 0
+    scan: bytes | None = None
+    scale: int = 1
 
+    def shape(self) -> tuple[int, int, int, int]:
+        """Blocks of the first component: down and across in the picture, and of an MCU's, down and across."""
+        most_h, most_v = max(c[1] for c in self.parts), max(c[2] for c in self.parts)
+        _, h, v, _ = self.parts[0]
+        down, across = -(-self.height * v // (8 * most_v)), -(-self.width * h // (8 * most_h))
+        alone = len({u[1] for u in self.units}) == 1
+        return (down, across, 1, 1) if alone else (down, across, v, h)
 
-def _symbol(bits: _Bits, table) -> int:
-    w = bits.peek16()
-    if not table[1][w]:
-        raise ValueError("no such Huffman code")
-    bits.take(int(table[1][w]))
-    return int(table[0][w])
+    def mcus(self) -> tuple[int, int]:
+        down, across, v, h = self.shape()
+        return -(-down // v), -(-across // h)
 
 
-def decode(stream: bytes) -> list[tuple[int, int, np.ndarray]]:
-    """Height, width and DC-only luminance thumbnail (one pixel a block) of each frame."""
+def parse(stream: bytes) -> list[_Frame]:
+    """The frames of a stream; scans that lack the first component are passed over."""
     out, at = [], 0
     while at < len(stream):
         if stream[at : at + 2] != b"\xff\xd8":
             raise ValueError(f"no frame starts at {at}")
         at += 2
-        quant, dc, ac, frame, restart, parts = {}, {}, {}, None, 0, None
+        quant, dc, ac, frame = {}, {}, {}, _Frame()
         while True:
             if stream[at] != 0xFF:
                 raise ValueError(f"no marker at {at}")
@@ -169,87 +193,130 @@ def decode(stream: bytes) -> list[tuple[int, int, np.ndarray]]:
                     (ac if body[0] >> 4 else dc)[body[0] & 15] = body[1:17], body[17 : 17 + m]
                     body = body[17 + m :]
             elif marker == 0xC0:
-                height, width, k = struct.unpack(">HHB", body[1:6])
-                frame = height, width, [(c[0], c[1] >> 4, c[1] & 15, c[2]) for c in (body[6 + 3 * i : 9 + 3 * i] for i in range(k))]
+                frame.height, frame.width, k = struct.unpack(">HHB", body[1:6])
+                frame.parts = [(c[0], c[1] >> 4, c[1] & 15, c[2]) for c in (body[6 + 3 * i : 9 + 3 * i] for i in range(k))]
             elif marker in {0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)}:
                 raise ValueError("only baseline frames")
             elif marker == 0xDD:
-                restart = int.from_bytes(body[:2], "big")
+                frame.restart = int.from_bytes(body[:2], "big")
             elif marker == 0xDA:
-                end = at
-                while True:
-                    end = stream.index(b"\xff", end)
-                    if stream[end + 1] == 0 or 0xD0 <= stream[end + 1] <= 0xD7:
-                        end += 2
-                        continue
-                    break
-                tables = {body[1 + 2 * i]: (dc[body[2 + 2 * i] >> 4], ac[body[2 + 2 * i] & 15]) for i in range(body[0])}
-                parts = _scan(stream[at:end], frame, quant, tables, restart)
+                end = stream.index(b"\xff", at)
+                while stream[end + 1] == 0 or 0xD0 <= stream[end + 1] <= 0xD7:
+                    end = stream.index(b"\xff", end + 2)
+                own = {body[1 + 2 * i]: (dc[body[2 + 2 * i] >> 4], ac[body[2 + 2 * i] & 15]) for i in range(body[0])}
+                if frame.parts[0][0] in own:
+                    sizes = {c[0]: 1 if len(own) == 1 else c[1] * c[2] for c in frame.parts}
+                    frame.units = tuple((c[0] == frame.parts[0][0], c[0], own[c[0]]) for c in frame.parts if c[0] in own for _ in range(sizes[c[0]]))
+                    frame.scan, frame.scale = stream[at:end], quant[frame.parts[0][3]]
                 at = end
-        if parts is None:
-            raise ValueError("a frame without a scan")
-        out.append((frame[0], frame[1], parts))
+        if frame.scan is None:
+            raise ValueError("a frame without a scan of its first component")
+        out.append(frame)
     return out
 
 
-def _scan(data: bytes, frame, quant, tables, restart: int) -> np.ndarray:
-    """The luminance DC pixels of an interleaved baseline scan."""
-    height, width, comps = frame
-    most_h, most_v = max(c[1] for c in comps), max(c[2] for c in comps)
-    one = len(comps) == 1
-    across, down = -(-width // (8 * (1 if one else most_h))), -(-height // (8 * (1 if one else most_v)))
-    first = comps[0]
-    scale = quant[first[3]]
-    if one and not restart and (fast := _uniform(*tables[first[0]])):
-        bits, table = fast
-        raw = data.replace(b"\xff\x00", b"\xff")
-        n = across * down
-        if bits == 10 and n % 4 == 0:
-            if len(raw) < 5 * n // 4:
+def _intervals(frames: list[_Frame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The scans' bytes side by side without stuffing and markers, the offset of each restart interval (and the end), and its blocks."""
+    raw = np.frombuffer(b"".join(f.scan for f in frames), np.uint8)
+    edges = np.cumsum([0, *(len(f.scan) for f in frames)])
+    after = np.append(raw[1:], 0)
+    full = raw == 0xFF
+    stuffing, marker = np.append(False, (full & (after == 0))[:-1]), full & (after >= 0xD0) & (after <= 0xD7)
+    drop = stuffing | marker
+    drop[1:] |= marker[:-1]
+    kept = np.concatenate([[0], np.cumsum(~drop)])
+    starts = np.sort(np.concatenate([edges[:-1], np.flatnonzero(marker) + 2]))
+    blocks = []
+    for f in frames:
+        down, across = f.mcus()
+        n = down * across
+        each = f.restart or n
+        blocks += [min(each, n - lo) * len(f.units) for lo in range(0, n, each)]
+    if len(blocks) != len(starts):
+        raise ValueError("the restart markers don't fit the frame")
+    return raw[~drop], np.append(kept[starts], kept[-1]), np.array(blocks, np.int64)
+
+
+def _lockstep(data: np.ndarray, at: np.ndarray, blocks: np.ndarray, units: tuple) -> np.ndarray:
+    """The DC differences of all blocks, interval after interval; one Huffman code of every interval a step."""
+    b = np.concatenate([data, np.full(4, 0xFF, np.uint8)]).astype(np.int32)
+    window = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    tables = np.concatenate([_lookup(*t) for _, _, pair in units for t in pair])  # DC and AC of each unit
+    out = np.zeros(int(blocks.sum()), np.int32)
+    kind = np.int32 if 8 * len(b) < 1 << 31 else np.int64
+    bit, past = (at[:-1] * 8).astype(kind), (at[1:] * 8).astype(kind)
+    slot = np.cumsum(blocks) - blocks
+    left, unit, k = blocks.astype(kind), np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32)
+
+    def peek(bit: np.ndarray) -> np.ndarray:
+        if (bit > past).any():
+            raise ValueError("the scan ends early")
+        return (window[bit >> 3] >> (8 - (bit & 7))) & 0xFFFF
+
+    while len(bit):
+        first = k == 0
+        dc = bool(first.any())
+        row = first ^ True if len(units) == 1 else unit * 2 + ~first
+        found = tables[(row.astype(np.int32) << 16) | peek(bit)]
+        if not found.all():
+            raise ValueError("no such Huffman code")
+        symbol, bit = found >> 5, bit + (found & 31)
+        size = symbol & 15
+        if dc:
+            extra = peek(bit) >> (16 - size)
+            value = extra - ((extra < (1 << size >> 1)) * ((1 << size) - 1))
+        bit = bit + size
+        if dc and first.all():  # as all intervals of our own writer are
+            out[slot] = value
+            k += 1
+            continue
+        if dc:
+            out[slot[first]] = value[first]
+        k += np.where(first, 1, np.where(symbol == 0xF0, 16, np.where(size == 0, 64, (symbol >> 4) + 1)))
+        done = k >= 64
+        k[done] = 0
+        slot, left = slot + done, left - done
+        if len(units) > 1:
+            unit = np.where(done, (unit + 1) % len(units), unit)
+        if not left.all():
+            go = left > 0
+            if (bit > past)[~go].any():
                 raise ValueError("the scan ends early")
-            q = np.zeros((n // 4, 8), np.uint8)
-            q[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n // 4).reshape(-1, 5)
-            w = q.view(">u8").astype(np.uint64).ravel()
-            words = np.stack([(w >> np.uint64(s)) & np.uint64(1023) for s in (30, 20, 10, 0)], 1).ravel()
-        else:
-            b = np.unpackbits(np.frombuffer(raw, np.uint8))[: n * bits].reshape(n, bits)
-            words = b @ (1 << np.arange(bits)[::-1])
-        level = np.cumsum(table[words])
-        return np.clip(level * scale / 8 + 128, 0, 255).round().astype(np.uint8).reshape(down, across)
-    luts = {k: (_lookup(_codes(*d)), _lookup(_codes(*a))) for k, (d, a) in tables.items()}
-    h1, v1 = (1, 1) if one else (first[1], first[2])
-    image = np.zeros((down * v1, across * h1), np.int64)
-    pieces, lo = [], 0
-    for i in range(len(data) - 1):
-        if data[i] == 0xFF and 0xD0 <= data[i + 1] <= 0xD7:
-            pieces.append(data[lo:i])
-            lo = i + 2
-    pieces.append(data[lo:])
-    readers = [_Bits(p.replace(b"\xff\x00", b"\xff")) for p in pieces]
-    reader, last = readers[0], dict.fromkeys(tables, 0)
-    for mcu in range(across * down):
-        if restart and mcu and mcu % restart == 0:
-            reader, last = readers[mcu // restart], dict.fromkeys(tables, 0)
-        y, x = divmod(mcu, across)
-        for ident, h, v, _ in comps:
-            for k in range(1 if one else h * v):
-                s = _symbol(reader, luts[ident][0])
-                d = reader.take(s)
-                last[ident] += d if not s or d >> (s - 1) else d - (1 << s) + 1
-                if ident == first[0]:
-                    image[y * v1 + k // h1, x * h1 + k % h1] = last[ident]
-                i = 1
-                while i < 64:
-                    rs = _symbol(reader, luts[ident][1])
-                    if rs & 15 == 0:
-                        if rs != 0xF0:
-                            break
-                        i += 16
-                        continue
-                    i += (rs >> 4) + 1
-                    reader.take(rs & 15)
-    rows, cols = -(-height * v1 // (8 * (1 if one else most_v))), -(-width * h1 // (8 * (1 if one else most_h)))
-    return np.clip(image[:rows, :cols] * scale / 8 + 128, 0, 255).round().astype(np.uint8)
+            bit, past, slot, left, unit, k = (x[go] for x in (bit, past, slot, left, unit, k))
+    return out
+
+
+def thumbnails(streams: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
+    """For each stream height, width and DC-only luminance thumbnail (one pixel a block) of its frames."""
+    frames = [(i, f) for i, s in enumerate(streams) for f in parse(s)]
+    pixels: dict[int, np.ndarray] = {}
+    for units in dict.fromkeys(f.units for _, f in frames):  # frames with the same tables and sampling go together
+        these = [j for j, (_, f) in enumerate(frames) if f.units == units]
+        data, at, blocks = _intervals([frames[j][1] for j in these])
+        d = _lockstep(data, at, blocks, units)
+        own = np.array([u[0] for u in units])
+        per = int(own.sum())
+        d = d.reshape(-1, len(units))[:, own].ravel()
+        ends = np.cumsum(blocks // len(units) * per)
+        level = np.cumsum(d, dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        level -= np.repeat(np.where(starts > 0, level[starts - 1], 0), np.diff(np.append(starts, len(d))))
+        lo = 0
+        for j in these:
+            f = frames[j][1]
+            down, across, v, h = f.shape()
+            m, n = f.mcus()
+            part = level[lo : lo + m * n * per].reshape(m, n, v, h).transpose(0, 2, 1, 3).reshape(m * v, n * h)[:down, :across]
+            lo += m * n * per
+            pixels[j] = (np.clip(part * f.scale + 1024, 0, 2040) + 4 >> 3).clip(0, 255).astype(np.uint8)
+    out: list[list] = [[] for _ in streams]
+    for j, (i, f) in enumerate(frames):
+        out[i].append((f.height, f.width, pixels[j]))
+    return out
+
+
+def decode(stream: bytes) -> list[tuple[int, int, np.ndarray]]:
+    return thumbnails([stream])[0]
 
 
 def thumbnail_hash(pixels: np.ndarray) -> str:
@@ -275,22 +342,29 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [None, *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2, pa.string(), pa.string(), *[pa.int32()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows, kept = [], []
-                for text in part.column(1).to_pylist():
-                    raw = (text or "").encode()
-                    media = encode(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))
-                    frames = decode(media)
-                    pixels = frames[0][2] if len(frames) == 1 else np.concatenate([f[2] for f in frames])
-                    back = pixels.tobytes()
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), thumbnail_hash(pixels), len(frames), sum(f[0] for f in frames), frames[0][1]))
-                    if keep_media:
-                        kept.append(media)
-                cols = [part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))] if rows else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_media, names + ["media"] * keep_media)
+        with lean():
+            for batch in batches:
+                raw, at = text_buffer(batch.column(1))
+                lo = 0
+                while lo < batch.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _TOGETHER, "right")) - 1)
+                    hi = min(hi, lo + 4096, batch.num_rows)
+                    yield described(batch.column(0).slice(lo, hi - lo), raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                    lo = hi
+
+    def described(ids: pa.Array, raw: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(at)
+        places = np.concatenate([[0], np.cumsum(np.maximum(WIDTH, -(-sizes // WIDTH) * WIDTH))])
+        payload = np.zeros(places[-1], np.uint8)
+        payload[np.arange(len(raw)) + np.repeat(places[:-1] - at[:-1], sizes)] = raw
+        media = encode_all(payload, places)
+        rows = []
+        for n, stored, frames in zip(sizes.tolist(), media, thumbnails(media), strict=True):
+            pixels = frames[0][2] if len(frames) == 1 else np.concatenate([f[2] for f in frames])
+            back = pixels.tobytes()
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), thumbnail_hash(pixels), len(frames), sum(f[0] for f in frames), frames[0][1]))
+        cols = [ids, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))]
+        return pa.RecordBatch.from_arrays(cols + [pa.array(media, pa.binary())] * keep_media, names + ["media"] * keep_media)
 
     schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, height int, width int"
     return df.select(id_col, text_col).mapInArrow(run, schema + ", media binary" * keep_media)
