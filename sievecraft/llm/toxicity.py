@@ -63,26 +63,27 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, past last, score), left to right, in linear time.
 
     Each is the best in its surroundings: it has no better part, and no extension that
-    keeps that is better. The scan keeps a stack of segments with the sums before and after.
+    keeps that is better. The scan keeps a stack of segments with the sums before and after,
+    and for each the nearest earlier one with a smaller sum before it: all between can't be
+    merged with what comes, so they are jumped over.
     """
     hot = np.flatnonzero(scores > 0)
     if not len(hot):
         return []
     sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    stack: list[tuple[int, int, float, float]] = []
-    for i in hot.tolist():
-        lo, hi, left, right = i, i + 1, float(sums[i]), float(sums[i + 1])
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                # what was passed over can't start before this one's left sum
-                stack.append((lo, hi, left, right))
-                break
-            lo, left = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(lo, hi, right - left) for lo, hi, left, right in stack]
+    firsts, lasts, lefts, rights, nearest = [], [], [], [], []
+    for i, left, right in zip(hot.tolist(), sums[hot].tolist(), sums[hot + 1].tolist(), strict=True):
+        lo, j = i, len(lefts) - 1
+        while j >= 0 and lefts[j] >= left:
+            j = nearest[j]
+        while j >= 0 and rights[j] < right:  # merged with j and all after it
+            lo, left = firsts[j], lefts[j]
+            for x in (firsts, lasts, lefts, rights):
+                del x[j:]
+            nearest[j:], j = [], nearest[j]
+        for x, v in zip((firsts, lasts, lefts, rights, nearest), (lo, i + 1, left, right, j), strict=True):
+            x.append(v)
+    return [(lo, hi, right - left) for lo, hi, left, right in zip(firsts, lasts, lefts, rights, strict=True)]
 
 
 def _features(model: Model, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int, float]]], np.ndarray]:
