@@ -16,6 +16,8 @@ from .toxicity import held_out
 BITS = 16
 #: Most documents a language that are learned from, by hash order of doc_id.
 ROWS_A_LANGUAGE = 2_000
+#: Bits of an id's hash that the histogram counts by.
+_BINS = 12
 #: Texts are read so many bytes at a time.
 _CHUNK = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -66,16 +68,31 @@ def trigrams(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_of_each(known: DataFrame, rows: int) -> DataFrame:
+    """Distinct (doc_id, lang) rows, at most `rows` a language, by hash order of doc_id; no language is ranked whole.
+
+    Bins count repeated rows as often as they come, so repeats can leave fewer than `rows`.
+    """
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("bin", F.shiftright("hash", 64 - _BINS))
+    counts = hashed.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")
+    cut = counts.withColumn("before", before).where(F.col("before") < rows).groupBy("lang").agg(F.max("bin").alias("last"))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    some = hashed.join(F.broadcast(cut), "lang").where(F.col("bin") <= F.col("last")).select("doc_id", "lang", "hash").distinct()
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "lang")
+
+
 def fit(documents: DataFrame, rows: int = ROWS_A_LANGUAGE) -> Model:
     """Learns from documents with a language that are not held out, at most `rows` of each.
 
-    Only ids and languages are ranked; the ids picked (a bounded number a language) are
-    broadcast, and trigram counts by language are summed into 2**BITS buckets. Each bit's
-    classifier is the log-odds of a trigram between the languages on its two sides.
+    Ids and languages alone decide which: a histogram of id hashes says where each language's
+    first `rows` end, so that no more than these and one bin are ranked. The ids picked (a
+    bounded number a language) are broadcast, and trigram counts by language are summed into
+    2**BITS buckets. Each bit's classifier is the log-odds of a trigram between the languages
+    on its two sides.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "lang").distinct()
+    picked = first_of_each(known.select("doc_id", "lang"), rows)
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,13 +110,13 @@ def fit(documents: DataFrame, rows: int = ROWS_A_LANGUAGE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(c[k], pa.int64())], ["lang", "bucket", "n"])
 
     counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = counts.column("lang").to_pylist()
+    names = counts.column("lang").combine_chunks().dictionary_encode()
     # a language whose documents have no trigram is learned too
-    languages = sorted(set(names) | {x["lang"] for x in picked.select("lang").distinct().collect()})
+    languages = sorted(set(names.dictionary.to_pylist()) | {x["lang"] for x in picked.select("lang").distinct().collect()})
     n = np.zeros((len(languages), 1 << BITS))
     place = {x: i for i, x in enumerate(languages)}
-    if names:
-        n[np.array([place[x] for x in names]), counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    if len(names):
+        n[np.array([place[x] for x in names.dictionary.to_pylist()])[names.indices.to_numpy()], counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     codes = codewords(len(languages))
     shares = (n + 0.5) / (n + 0.5).sum(1, keepdims=True)  # languages weigh alike, however many documents they have
     bits = codes.shape[1] if len(languages) else 1
