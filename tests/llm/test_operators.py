@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import ahocorasick  # noqa: F401
@@ -102,26 +103,122 @@ def test_media(odd, none):
     assert b"".join(f[2].tobytes() for f in jpeg.decode(jpeg.encode(long))) == long
 
 
-def test_general_scan_equals_the_fast_one():
-    payload = np.random.default_rng(3).integers(0, 256, 640, dtype=np.uint8).tobytes()
+def baseline(rng, height, width, parts, interleaved, restart):
+    """A baseline stream of random coefficients, written bit by bit, and the first component's DC pixels."""
+    dc = {s: (n, c) for s, (n, c) in jpeg._codes(jpeg._DC_COUNTS, jpeg._DC_SYMBOLS).items()}
+    ac_counts, ac_symbols = bytes([0, 1, 1, 1, 1, 1] + [0] * 10), bytes([0x00, 0x01, 0x12, 0xF0, 0x73])
+    ac = jpeg._codes(ac_counts, ac_symbols)
+    most_h, most_v = max(p[0] for p in parts), max(p[1] for p in parts)
+    own = [(-(-height * v // (8 * most_v)), -(-width * h // (8 * most_h))) for h, v in parts]
+    full = [(-(-height // (8 * most_v)) * v, -(-width // (8 * most_h)) * h) for h, v in parts]
+    level = [rng.integers(-100, 100, f) for f in full]
+
+    def signed(v):
+        s = abs(v).bit_length()
+        return s, format(v if v > 0 else v + (1 << s) - 1, f"0{s}b") if s else ""
+
+    def block(c, y, x, last):
+        s, extra = signed(int(level[c][y, x]) - last[c])
+        last[c] = int(level[c][y, x])
+        out = format(dc[s][1], f"0{dc[s][0]}b") + extra
+        k = 1
+        while k < 64 and rng.random() < 0.6:
+            rs = int(rng.choice([0x01, 0x12, 0xF0, 0x73]))
+            if k + (16 if rs == 0xF0 else (rs >> 4) + 1) > 63:
+                break
+            out += format(ac[rs][1], f"0{ac[rs][0]}b") + "".join(rng.choice(["0", "1"], rs & 15))
+            k += 16 if rs == 0xF0 else (rs >> 4) + 1
+        return out + format(ac[0][1], f"0{ac[0][0]}b")
+
+    def scan(units):
+        out, bits, last, mark = b"", "", [0] * len(parts), 0
+        for i, u in enumerate(units):
+            if restart and i and i % restart == 0:
+                out += packed(bits) + bytes([0xFF, 0xD0 + mark % 8])
+                bits, last, mark = "", [0] * len(parts), mark + 1
+            bits += "".join(block(c, y, x, last) for c, y, x in u)
+        return out + packed(bits)
+
+    def packed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    stream = b"\xff\xd8" + jpeg._segment(0xDB, bytes([0] + [8] * 64)) + jpeg._segment(0xC4, b"\x00" + jpeg._DC_COUNTS + jpeg._DC_SYMBOLS) + jpeg._segment(0xC4, b"\x10" + ac_counts + ac_symbols)
+    stream += jpeg._segment(0xC0, bytes([8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), len(parts), *(x for i, (h, v) in enumerate(parts) for x in (i + 1, h << 4 | v, 0))]))
+    if restart:
+        stream += jpeg._segment(0xDD, restart.to_bytes(2, "big"))
+    head = lambda cs: jpeg._segment(0xDA, bytes([len(cs), *(x for c in cs for x in (c + 1, 0)), 0, 63, 0]))
+    if interleaved and len(parts) > 1:
+        rows, cols = full[0][0] // parts[0][1], full[0][1] // parts[0][0]
+        units = [[(c, my * v + y, mx * h + x) for c, (h, v) in enumerate(parts) for y in range(v) for x in range(h)] for my in range(rows) for mx in range(cols)]
+        stream += head(list(range(len(parts)))) + scan(units)
+    else:
+        for c in reversed(range(len(parts))):
+            stream += head([c]) + scan([[(c, y, x)] for y in range(own[c][0]) for x in range(own[c][1])])
+    return stream + b"\xff\xd9", np.clip(level[0][: own[0][0], : own[0][1]] + 128, 0, 255)
+
+
+def test_any_baseline_scan():
+    rng = np.random.default_rng(6)
+    streams, expected = [], []
+    for parts in ([(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1)], [(1, 1), (1, 1)]):
+        for interleaved in (True, False):
+            for restart in (0, 3):
+                stream, pixels = baseline(rng, int(rng.integers(1, 60)), int(rng.integers(1, 60)), parts, interleaved, restart)
+                streams.append(stream)
+                expected.append(pixels)
+    for found, pixels in zip(jpeg.thumbnails(streams), expected, strict=True):
+        assert found[0][2].tolist() == pixels.tolist()
+    payload = rng.integers(0, 256, 640, dtype=np.uint8).tobytes()
     media = jpeg.encode(payload)
-    # a restart interval longer than the scan makes the decoder go symbol by symbol
-    at = media.index(b"\xff\xda")
-    slow = media[:at] + b"\xff\xdd\x00\x04\xff\xff" + media[at:]
-    assert jpeg.decode(slow)[0][2].tobytes() == payload
-    with pytest.raises(ValueError):
-        jpeg.decode(media.replace(b"\xff\xc0", b"\xff\xc2"))
+    assert jpeg.decode(media)[0][2].tobytes() == payload
+    for broken in (media.replace(b"\xff\xc0", b"\xff\xc2"), media[:-40] + media[-2:], b"xx" + media):
+        with pytest.raises(ValueError):
+            jpeg.decode(broken)
+
+
+def all_maximal(s):
+    """The best segment, then the same on both sides of it: the definition, brute force."""
+    sums = np.concatenate([[0], np.cumsum(s)])
+    spans = [(sums[j] - sums[i], i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+    if not spans or max(spans)[0] <= 0:
+        return []
+    _, i, j = max(spans)
+    return all_maximal(s[:i]) + [(i, j)] + [(a + j, b + j) for a, b in all_maximal(s[j:])]
 
 
 def test_segments_are_maximal():
     rng = np.random.default_rng(7)
-    for _ in range(200):
-        s = rng.integers(-5, 5, rng.integers(1, 14)).astype(float)
+    for _ in range(500):
+        s = rng.normal(size=rng.integers(0, 18))
         found = toxicity.maximal_segments(s)
-        sums = np.concatenate([[0], np.cumsum(s)])
-        best = max((sums[j] - sums[i] for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0)
-        assert (max(x[2] for x in found) if found else 0) == max(best, 0)
-        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        assert [x[:2] for x in found] == all_maximal(s)
+        assert all(abs(v - s[a:b].sum()) < 1e-9 for a, b, v in found)
+
+
+def test_segments_take_linear_time():
+    falling = np.tile([1.0, -2.0], 500_000)
+    began = time.perf_counter()
+    assert len(toxicity.maximal_segments(falling)) == 500_000
+    assert len(toxicity.maximal_segments(-falling[::-1] + 0.5)) >= 1
+    assert time.perf_counter() - began < 30
+
+
+def test_calibration_by_extreme_values():
+    """Best segments of chance scores exceed a level as often as the fitted rate and scale say."""
+    rng = np.random.default_rng(3)
+    levels = np.linspace(-3.1, 2.3, 541)
+    shares = np.exp(-((levels + 0.4) ** 2))
+    shares /= shares.sum()
+    rate = toxicity._rate(shares, levels)
+    assert abs((shares * np.exp(rate * levels)).sum() - 1) < 1e-6
+    n = 400
+    best = np.array([max((x[2] for x in toxicity.maximal_segments(rng.choice(levels, n, p=shares))), default=0.0) for _ in range(2000)])
+    scale = float(np.exp(np.mean(rate * best - np.log(n)) - toxicity._EULER))
+    for q in (0.5, 0.9, 0.98):
+        level = np.quantile(best, q)
+        expected = 1 - np.exp(-scale * n * np.exp(-rate * level))
+        assert abs(expected - (best >= level).mean()) < 0.05
 
 
 def test_toxicity_finds_planted_words(spark, none):
@@ -146,6 +243,21 @@ def test_toxicity_finds_planted_words(spark, none):
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, r in found.items() if not r.predicted}
     assert toxicity.score(none, toxicity.fit(none, tags)).count() == 0
+    # extra columns with the operator's own names, repeated rows, a very long text
+    long = " ".join(["alpha1"] * 200_000 + ["vilestuff", "nastyword"])
+    extra = docs.where("doc_id < 3").selectExpr("*", "1 as y", "'x' as score", "2 as bucket", "3 as predicted")
+    extra = extra.unionByName(extra).unionByName(spark.createDataFrame([(700, long, "en", "s", 0, 1, "x", 2, 3)], extra.schema))
+    again = toxicity.score(extra, toxicity.fit(docs.selectExpr("*", "1 as y"), tags.selectExpr("*", "2 as y"))).collect()
+    assert len(again) == 7 and all(abs(r.score - found[r.doc_id].score) < 1e-12 for r in again if r.doc_id < 3)
+    assert [r.n_words for r in again if r.doc_id == 700] == [200_002] and toxicity.without_toxic(extra, model).columns == extra.columns
+
+
+def test_toxicity_against_labels(spark):
+    """Held-out accuracy on the given labels."""
+    d = "/root/testdata/sf0.1"
+    found = queries.op3_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out and toxic is not null")
+    r = found.selectExpr("avg(cast(predicted = toxic as double)) as right", "count(*) as n").collect()[0]
+    assert r.n > 200 and r.right > 0.95
 
 
 def classes(texts):
@@ -188,6 +300,49 @@ def test_a_large_node_of_near_copies_is_one_class(spark):
     assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
 
 
+def test_structured_words_stay_apart(spark):
+    """Thue-Morse words and their complements, which defeat polynomial hashes modulo 2**64."""
+    word = lambda n: "".join("xy"[i.bit_count() % 2] for i in range(n))
+    texts = {}
+    for n in (64, 1024, 2048, 4096):
+        for flip in (False, True):
+            w = word(n).translate(str.maketrans("xy", "yx")) if flip else word(n)
+            texts[len(texts)] = w
+            texts[len(texts)] = f"one two three four five {w} six seven eight nine ten"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: tuple(r)[1:] for i, r in by_id(nearcopies.near_duplicates(df)).items()} == classes(texts)
+    assert {i: tuple(r)[1:] for i, r in by_id(repeats.remove_repeats(df)).items()} == cut(texts)
+
+
+def test_exact_sets_survive_hash_collisions(monkeypatch):
+    texts = ["a b c d e f", "A  b c d e f g", "b", "", "a b c d e a b c d e", "x y z v w"]
+    raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    for bits in (64, 1):
+        whole = nearcopies.words_hash
+        monkeypatch.setattr(nearcopies, "words_hash", lambda *a, bits=bits, whole=whole, **k: whole(*a, **k) >> np.uint64(64 - bits))
+        out, places = nearcopies.plain(raw, at)
+        number, offsets = nearcopies.exact_sets(out, places, 5)
+        sets = [set(number[lo:hi].tolist()) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+        expected = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+        assert [[len(x & y) for y in sets] for x in sets] == [[len(x & y) for y in expected] for x in expected]
+        monkeypatch.undo()
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs with shared boilerplate at 0.75 to 0.83, all others of their family below 0.72: each pair is found."""
+    for seed, (shared, own, twins) in enumerate(((140, 30, 7), (150, 27, 5), (160, 40, 15))):
+        texts = family(random.Random(seed), 160, shared, own, twins)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
+
+
+def test_null_ids_and_repeated_rows_of_copies(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(None, text, 1), (5, text, 2), (3, text, 3), (3, text, 4), (None, "alone in the world of words", 5), (9, None, 6)], "doc_id long, text string, first int")
+    found = sorted(nearcopies.near_duplicates(df).collect(), key=str)
+    assert len(found) == 6 and {(r.doc_id, r.component_id, r.kept) for r in found} == {(None, 3, False), (5, 3, False), (3, 3, True), (None, None, False), (9, 9, True)}
+
+
 def family(rng, n, shared, own, twins):
     """Texts of one template with `shared` of shared + own shingles in common; two and two have `twins` more."""
     template = [f"t{i}" for i in range(shared + 4)]
@@ -274,6 +429,44 @@ def test_codewords_and_language(spark, none):
     assert all(found[i].lang_pred == k for i, _, k, _, _ in rows[:180])
     assert found[900].lang_pred == found[901].lang_pred == "und" and found[902].lang_pred == "bb"
     assert language.predict(docs, language.fit(none)).where("lang_pred <> 'und'").count() == 0
+    assert language.predict(none, language.fit(docs)).count() == 0
+    # a text over several chunks, repeated rows, extra columns
+    long = docs.where("doc_id in (1, 901)").selectExpr("*", "'x' as ambiguous", "1 as score").unionByName(spark.createDataFrame([(950, "eau oui ceci très " * 80_000, None, None, None, "x", 1)], DOCS + ", ambiguous string, score int"))
+    again = language.predict(long.unionByName(long), language.fit(docs)).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in again) == sorted([(1, "bb"), (901, "und"), (950, "cc")] * 2)
+
+
+def test_nearest_codeword_against_brute_force(spark):
+    """Loss-weighted decoding, one text after another in plain Python; equal codewords' losses go to the first language."""
+    rng = random.Random(14)
+    kinds = {f"l{k}": ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)] for k in range(6)}
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(20)), k, "s", 0) for i, k in enumerate(list(kinds) * 30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs)
+    found = by_id(language.predict(docs, model))
+    for i, text, _, _, _ in rows[::7]:
+        b = np.frombuffer(text.encode(), np.uint8)
+        grams = [b[k : k + 3].tobytes() for k in range(len(b) - 2)]
+        slot = [int(np.uint32((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % (1 << 32)) >> (32 - language.BITS)) for g in grams]
+        margin = [min(max((float(sum(model.weights[x, j] for x in slot)) / len(slot) - model.middle[j]) / model.half[j], -6), 6) for j in range(model.codes.shape[1])]
+        loss = [sum(model.trust[c][j] * np.exp(-model.codes[c][j] * m) for j, m in enumerate(margin)) for c in range(len(model.languages))]
+        assert found[i].lang_pred == model.languages[int(np.argmin(loss))]
+        assert abs(found[i].score - 1 / sum(np.exp(-2 * (x - min(loss))) for x in loss)) < 1e-3
+    tied = language.Model(["a", "b"], np.array([[1], [1]], np.int8), model.weights[:, :1], np.zeros(1), np.ones(1), np.ones((2, 1)))
+    assert {(r.lang_pred, r.ambiguous) for r in language.predict(docs, tied).collect()} == {("a", True)}
+
+
+def test_language_sample_is_the_first_by_hash(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "case when id % 10 = 0 then 'a' else 'b' end as lang")
+    expected = {(r.doc_id, r.lang) for r in df.selectExpr("*", "row_number() over (partition by lang order by xxhash64(doc_id), doc_id) as k").where("k <= 700").collect()}
+    assert {(r.doc_id, r.lang) for r in language.first_of_each(df, 700).collect()} == expected
+
+
+def test_language_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"
+    found = queries.op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    r = found.selectExpr("avg(cast(lang_pred = lang as double)) as right", "count(*) as n").collect()[0]
+    assert r.n > 500 and r.right > 0.95
 
 
 def test_warc(spark):
