@@ -11,7 +11,7 @@ confirms every likely pair.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,12 @@ COORDINATES = 64
 TREES = 12
 #: Most documents that a leaf compares exhaustively, and how many of them the next leaf of the same node sees again.
 LEAF, OVERLAP = 192, 16
-#: Documents of a block: a node of more is compared block against block, so that none has to fit a task.
-BLOCK = 512
+#: Most documents of a node that are compared exhaustively by sketches; larger nodes go by rare shingles.
+SMALL = 128
+#: Documents of a block: where more share a shingle, they meet block against block, so that none has to fit a task.
+BLOCK = 1 << 16
+#: Shingles are counted in 2**_RARITY_BITS buckets, whatever the corpus.
+_RARITY_BITS = 20
 #: Places where the copies of one set are looked up.
 _SALTS = 32
 #: Pairs whose sketches are compared at once.
@@ -284,65 +288,151 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return ranged.mapInArrow(_compare, "a long, b long").where("a < b").distinct()
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with lean():
-        yield from _blocks(batches)
-
+def _all_pairs(extra: dict[str, type], alike: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """Of rows sorted by (key, lo, hi, block, label): the pairs of a key, with different labels, that are alike.
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All likely links between different classes in rows sorted by (key, lo, hi, block), each in the first node where its two meet."""
+    Rows of blocks lo and hi of a key are met by each other, and where lo is hi by their own;
+    rows with the same label, which lie side by side, never are.
+    """
+    names = ["key", "lo", "hi", "block", "doc_id", "label"]
 
     def links(c: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         size = np.diff(bounds)
         at = np.arange(bounds[-1])
-        end = np.repeat(bounds[1:], size)
+        group = np.repeat(np.arange(len(size)), size)
         other = (c["lo"] < c["hi"]) & (c["block"] == c["hi"])  # the second of two blocks
         second = np.repeat(bounds[1:] - np.add.reduceat(other, bounds[:-1], dtype=np.int64), size)
-        first = np.where(other, end, np.where(c["lo"] < c["hi"], second, at + 1))
+        edge = np.append(np.flatnonzero((np.diff(group) != 0) | (np.diff(c["label"]) != 0)) + 1, len(at))
+        run_end = edge[np.searchsorted(edge, at, "right")]
+        end = np.repeat(bounds[1:], size)
+        first = np.where(other, end, np.where(c["lo"] < c["hi"], second, run_end))
         done = np.concatenate([[0], np.cumsum(end - first)])
         s = 0
         while s < len(at):
             e = max(s + 1, int(np.searchsorted(done, done[s] + _PAIRS, "right")) - 1)
-            i = np.repeat(at[s:e], (end - first)[s:e])
-            j = first[i] + np.arange(done[s], done[e]) - done[i]
-            ok = c["label"][i] != c["label"][j]
-            i, j = i[ok], j[ok]
-            ok = (c["sketch"][i] == c["sketch"][j]).sum(1) >= _LOW
-            i, j = i[ok], j[ok]
-            ok = (c["tokens"][i] == c["tokens"][j]).argmax(1) == c["root"][i]
-            x, y = c["doc_id"][i[ok]], c["doc_id"][j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            for lo in range(int(done[s]), int(done[e]), _PAIRS):  # a row may have more than that many
+                place = np.arange(lo, min(lo + _PAIRS, int(done[e])))
+                i = np.searchsorted(done, place, "right") - 1
+                j = first[i] + place - done[i]
+                ok = c["label"][i] != c["label"][j]
+                i, j = i[ok], j[ok]
+                ok = alike(c, i, j)
+                x, y = c["doc_id"][i[ok]], c["doc_id"][j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
             s = e
 
-    names = ["key", "lo", "hi", "block", "doc_id", "root", "label"]
-    held: dict[str, np.ndarray] = {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = {x: batch.column(x).to_numpy() for x in names}
-        for x, kind in (("sketch", np.uint8), ("tokens", np.uint32)):
-            new[x] = np.frombuffer(b"".join(batch.column(x).to_pylist()), kind).reshape(batch.num_rows, -1)
-        held = {x: np.concatenate([held[x], new[x]]) for x in new} if held else new
-        bounds = np.flatnonzero(np.append(True, (np.diff(held["key"]) != 0) | (np.diff(held["lo"]) != 0) | (np.diff(held["hi"]) != 0)))
-        if len(bounds) > 1:
-            yield from links({x: v[: bounds[-1]] for x, v in held.items()}, bounds)
-            held = {x: v[bounds[-1] :] for x, v in held.items()}
-    if held:
-        yield from links(held, np.array([0, len(held["key"])]))
-
-
-def remaining_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of likely links that meet in a node and aren't in one class (node, component) yet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {x: batch.column(x).to_numpy() for x in names}
+            for x, kind in extra.items():
+                own = batch.column(x)
+                new[x] = np.frombuffer(b"".join(own.to_pylist()), kind).reshape(batch.num_rows, -1) if pa.types.is_binary(own.type) else own.to_numpy()
+            held = {x: np.concatenate([held[x], new[x]]) for x in new} if held else new
+            bounds = np.flatnonzero(np.append(True, (np.diff(held["key"]) != 0) | (np.diff(held["lo"]) != 0) | (np.diff(held["hi"]) != 0)))
+            if len(bounds) > 1:
+                yield from links({x: v[: bounds[-1]] for x, v in held.items()}, bounds)
+                held = {x: v[bounds[-1] :] for x, v in held.items()}
+        if held:
+            yield from links(held, np.array([0, len(held["key"])]))
+
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from run(batches)
+
+    return leanly
+
+
+def _alike(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have likely enough sketches, each in the first node where its two meet."""
+    ok = (c["sketch"][i] == c["sketch"][j]).sum(1) >= _LOW
+    ok[ok] = (c["tokens"][i[ok]] == c["tokens"][j[ok]]).argmax(1) == c["root"][i[ok]]
+    return ok
+
+
+def _possible(similarity: int) -> Callable:
+    """Which pairs may be similar by their sizes and by the places of the shingle that they share in their orders."""
+
+    def alike(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        left = np.minimum(c["size"][i] - c["place"][i], c["size"][j] - c["place"][j])  # they can't share more
+        return (100 + similarity) * left >= similarity * (c["size"][i] + c["size"][j])
+
+    return alike
+
+
+def _dealt(rows: DataFrame, run: Callable) -> DataFrame:
+    order = ["key", "lo", "hi"]
+    return rows.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "block", "label").mapInArrow(run, "a long, b long")
+
+
+def remaining_links(nodes: DataFrame, classes: DataFrame, documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) of possible links that meet in a node and aren't in one class (node, component) yet.
+
+    Nodes of up to SMALL documents are compared exhaustively, by sketches. Documents of larger
+    ones go by their rarest shingles: of sets that share `similarity` percent, one shingle at
+    least is in the first part of both, in any order that is the same for all; in the order of
+    how many documents have them, hardly any other documents meet there.
+    """
     label = F.coalesce("component", "doc_id").alias("label")
     rows = nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "root", label, "sketch", "tokens")
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "root", "label", "sketch", "tokens")
-    order = ["key", "lo", "hi"]
-    dealt = rows.repartition(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order, "block")
-    return dealt.mapInArrow(_compare_blocks, "a long, b long")
+    mixed = stored(mixed.select("key", (F.col("n") <= SMALL).alias("small")), "mixed")
+    one = [F.lit(0).alias(x) for x in ("lo", "hi", "block")]
+    small = _dealt(rows.join(mixed.where("small"), "key").select("key", *one, "doc_id", "label", "root", "sketch", "tokens"), _all_pairs({"root": np.int32, "sketch": np.uint8, "tokens": np.uint32}, _alike))
+    crowd = stored(rows.select("key", "doc_id", "label").join(mixed.where("not small"), "key").select("doc_id", "label").distinct(), "crowd")
+    if crowd.isEmpty():
+        return small
+    return small.union(_by_rare_shingles(crowd, documents, words, similarity)).distinct()
+
+
+def _by_rare_shingles(crowd: DataFrame, documents: DataFrame, words: int, similarity: int) -> DataFrame:
+    spark = documents.sparkSession
+    texts = documents.select("doc_id", "text").repartition(partitions(spark), "doc_id").join(crowd.hint("shuffle_hash"), "doc_id").select("doc_id", "label", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << _RARITY_BITS, np.int64)
+        for batch in batches:
+            for _, b, at in documents_in([batch.select(["doc_id", "text"])]):
+                n += np.bincount((shingle_sets(b, at, words)[0] >> np.uint64(64 - _RARITY_BITS)).astype(np.int64), minlength=len(n))
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["bucket", "n"])
+
+    counts = texts.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << _RARITY_BITS)
+    total[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    crowded = np.packbits(total > BLOCK)
+    # eight steps for each doubling are order enough; the table's size doesn't go with the data
+    steps = spark.sparkContext.broadcast((np.minimum(np.log2(np.maximum(total, 1)) * 8, 255).astype(np.uint8), crowded))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, crowded = steps.value
+        for batch in batches:
+            labels, k = batch.column("label").to_numpy(), 0
+            for ids, b, at in documents_in([batch.select(["doc_id", "text"])]):
+                hashes, offsets = shingle_sets(b, at, words)
+                own = labels[k : k + len(ids)]
+                k += len(ids)
+                size = np.diff(offsets)
+                who = np.repeat(np.arange(len(ids)), size)
+                bucket = (hashes >> np.uint64(64 - _RARITY_BITS)).astype(np.int64)
+                order = np.lexsort((hashes, step[bucket], who))
+                place = np.arange(len(order)) - np.repeat(offsets[:-1], size)
+                keep = 100 * (size[who] - place) >= similarity * size[who]  # who is sorted, so it is that of order too
+                order, place, who = order[keep], place[keep], who[keep]
+                hot = (crowded[bucket[order] >> 3] >> (7 - (bucket[order] & 7)).astype(np.uint8)) & 1
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[order].view(np.int64)), pa.array(hot.astype(bool)), pa.array(ids[who]), pa.array(own[who]), pa.array(place.astype(np.int32)), pa.array(size[who].astype(np.int32))], ["key", "hot", "doc_id", "label", "place", "size"])
+
+    rows = texts.mapInArrow(firsts, "key long, hot boolean, doc_id long, label long, place int, size int")
+    columns = ["doc_id", "label", "place", "size"]
+    one = rows.where("not hot").select("key", *[F.lit(0).alias(x) for x in ("lo", "hi", "block")], *columns)
+    # what may have more documents than a task should hold meets block against block
+    hot = rows.where("hot")
+    hot = hot.join(hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key")
+    hot = hot.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = hot.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *columns)
+    return _dealt(one.union(hot), _all_pairs({"place": np.int32, "size": np.int32}, _possible(similarity)))
 
 
 def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -459,7 +549,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int =
     nodes = stored(meetings(representatives.select("doc_id", "signature", "roots")), "nodes")
     links = stored(candidate_links(nodes), "candidates")
     found = components(confirmed(links, documents, words, similarity), "near")
-    rest = stored(remaining_links(nodes, found).join(links, ["a", "b"], "left_anti"), "remaining")
+    rest = stored(remaining_links(nodes, found, documents, words, similarity).join(links, ["a", "b"], "left_anti"), "remaining")
     if not rest.isEmpty():
         found = _joined(found, confirmed(rest, documents, words, similarity))
     # only sets with copies are looked up, and one with very many copies in several places
