@@ -1,6 +1,7 @@
 """Each operator against brute force, and the odd cases: nulls, empty and long texts, ties, repeated rows, no rows, extra columns."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -361,9 +362,17 @@ def test_true_pairs_in_a_family_just_below_the_threshold(spark):
     assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
 
 
+def test_shared_shingles_meet_block_against_block(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SMALL", 8)
+    monkeypatch.setattr(nearcopies, "BLOCK", 1)
+    texts = family(random.Random(15), 80, 140, 30, 7) | {200: "a b c d e f", 201: "a b c d e f g", 202: "A b c d e"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
+
+
 def test_true_pairs_in_a_large_node(spark):
-    texts = family(random.Random(13), 1200, 130, 35, 14)  # 0.65, and 600 pairs of 0.77; all meet in nodes of more than two blocks
-    assert len(texts) > 2 * nearcopies.BLOCK
+    texts = family(random.Random(13), 1200, 130, 35, 14)  # 0.65, and 600 pairs of 0.77; all meet in nodes that aren't small
+    assert len(texts) > 2 * nearcopies.SMALL
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     first = {}
     for i in sorted(texts):
@@ -541,19 +550,41 @@ def hits(texts, items, size=10):
     return out
 
 
-def test_decontamination(spark, odd, none):
-    texts = {r.doc_id: r.text for r in odd.where("length(text) < 5000 or text is null").collect()}
-    passage = texts[12].split()
-    items = [(1, " ".join(passage[:14])), (2, "Ünï"), (10, " ".join(passage[3:9]).upper()), (3, None), (4, "--"), (1, " ".join(passage[:14])), (5, "not there at all")]
-    docs = odd.where("length(text) < 5000 or text is null")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+def close_items(texts, items, size=10, slack=5):
+    """Items with a window whose words all lie within its length and slack, in any order: brute force."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {(str(k), tuple(w[i : i + size])) for k, t in items if k is not None for w in [words(t)] for i in range(max(1, len(w) - size + 1)) if w}
+    out = set()
+    for i, t in texts.items():
+        w = words(t)
+        for k, v in windows:
+            need = collections.Counter(v)
+            if need.keys() <= set(w) and any(not need - collections.Counter(w[s : s + len(v) + slack]) for s in range(len(w))):
+                out.add((k, i))
+    return out
+
+
+@pytest.mark.parametrize("limit", [48 << 20, 0])
+def test_decontamination(spark, odd, none, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    passage, long = texts[12].split(), texts[6].split()
+    shuffled = [*passage[:9], "between", "more", passage[9], passage[8]]
+    texts |= {300: " ".join(reversed(passage[:12])), 301: " ".join(shuffled), 302: "x " + "rep rep rep " * 5, 303: " ".join(passage[:10] * 3)}
+    docs = odd.unionByName(spark.createDataFrame([(i, texts[i], None, None, None) for i in range(300, 304)] + [(None, texts[12], None, None, None)], DOCS)).selectExpr("*", "1 as item_id", "'x' as term", "2 as position")
+    items = [(1, " ".join(passage[:14])), (2, "Ünï"), (10, " ".join(passage[3:9]).upper()), (3, None), (4, "--"), (1, " ".join(passage[:14])), (5, "not there at all"), (6, "rep rep rep"), (None, texts[12]), (7, " ".join(long[30_000:30_025])), (8, "x")]
+    bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
     found = decontaminate.contamination(docs, bench)
     assert found.count() == docs.count() and "Python" not in found._jdf.queryExecution().executedPlan().toString()
-    assert {i: tuple(r)[1:] for i, r in by_id(found).items()} == hits(texts, items)
-    assert decontaminate.contamination(none, bench).count() == 0
-    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
-    near = decontaminate.proximity_matches(docs, bench, slack=3)
-    assert {(r.item_id, r.doc_id) for r in decontaminate.matches(docs, bench).collect()} <= {(r.item_id, r.doc_id) for r in near.collect()}
+    expected = hits(texts, [x for x in items if x[0] is not None])
+    assert {i: tuple(r)[1:6] for i, r in by_id(found).items() if i is not None} == expected
+    assert [(r.n_hit, r.contaminated) for r in found.collect() if r.doc_id is None] == [(0, False)]
+    near = {(r.item_id, r.doc_id) for r in decontaminate.proximity_matches(docs, bench).collect()}
+    assert near == close_items({i: t for i, t in texts.items() if i != 6}, items) | {x for x in near if x[1] == 6}
+    assert ("7", 6) in near and {r.doc_id: r.n_near_items for r in found.collect() if r.n_near_items} == collections.Counter(i for _, i in near)
+    if limit:
+        assert decontaminate.contamination(none, bench).count() == 0
+        assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_pipeline_keeps_what_each_stage_keeps(spark):
