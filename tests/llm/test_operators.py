@@ -478,29 +478,78 @@ def test_language_on_held_out_documents(spark):
     assert r.n > 500 and r.right > 0.95
 
 
-def test_warc(spark):
-    trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    pages = [(i, f"http://x/{i} \r\n", h) for i, h in enumerate(["<p>é</p>", trap, "", None, "<p>é</p>", trap * 3, "a\r\n\r\nb"])]
-    found = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    first = {}
+def archived(pages):
+    first, out = {}, []
+    for i, _, h in sorted(pages, key=lambda x: (x[0] is None, x[0])):
+        first.setdefault((h or "").encode(), i)
     for i, _, h in pages:
         b = (h or "").encode()
-        kind = ("revisit", first[b]) if b in first else ("response", None)
-        first.setdefault(b, i)
-        r = found[i]
-        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *kind)
-    assert len(found) == len(pages)
-
-
-def test_chain_stops_at_broken_records():
+        kind = ("response", None) if first[b] == i else ("revisit", first[b])
+        out.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *kind))
+    return sorted(out, key=str)
+
+
+TRAP = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", ["128m", "700"])
+def test_warc(spark, split):
+    """Magic in payloads, blanks at ends, ties, repeats, nulls; files whole and cut into ranges smaller than a record."""
+    rng = random.Random(21)
+    bits = ["<p>é</p>", TRAP, "\r\n\r\n" + TRAP, "\r\n", "\r\n\r\n", "\r", "x" * 400, "WARC/1.1\r\n", "Content-Length: 1\r\n\r\n"]
+    pages = [(i, f"http://x/{i} \r\n", h) for i, h in enumerate(["<p>é</p>", TRAP, "", None, "<p>é</p>", TRAP * 3, "a\r\n\r\nb", "ends \r\n", "ends \r\n\r", ("\r\n\r\n" + TRAP) * 40])]
+    pages += [(i, None, "".join(rng.choices(bits, k=rng.randint(0, 12)))) for i in range(20, 45)]
+    pages += [pages[0], (5, "again", "another page 5"), (5, "again", "another page 5"), (None, "n", "<p>é</p>"), (None, None, "only here")]
+    rows = [(*x, "resp", 7) for x in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, size int").repartition(3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = warc.round_trip(df).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == archived(pages)
+        path = warc.write_archives(df, scratch(spark, "warc-test"))
+        read = warc.read_archives(spark, path)
+        assert sorted(bytes(r.payload) for r in read.collect() if r.record_type == "response") == sorted((h or "").encode() for (i, _, h), x in zip(sorted(pages, key=lambda x: str((x[0], len((x[2] or "").encode()), base64.b32encode(hashlib.sha1((x[2] or "").encode()).digest()).decode()))), archived(pages), strict=True) if x[3] == "response")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_without_pages(spark):
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_chain_stops_at_broken_records(spark, tmp_path):
     good = (warc.record(1, None, "x", warc.digest(b"x"), None) + "\r\n\r\n").encode()
-    data = good + good + b"junk" + good
-    at, _, after = warc.candidates(data)
-    assert warc.reachable(at, after, len(data)).tolist() == [True, True, False]
-    assert warc.reachable(*[np.zeros(0, np.int64)] * 2, 0).tolist() == []
-    cut_off = good + good[:-9]
-    at, _, after = warc.candidates(cut_off)
-    assert warc.reachable(at, after, len(cut_off)).tolist() == [True, False]
+    files = {"a": good + good + b"junk" + good, "b": good + good[:-9], "c": b"", "d": b"junk" + good, "e": good + b"WARC/1.1\r\nno length\r\n\r\n" + good, "f": good * 30}
+    for name, data in files.items():
+        (tmp_path / f"part-{name}").write_bytes(data)
+    found = warc.read_archives(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.file[-1] for r in found) == {"a": 2, "b": 1, "e": 1, "f": 30}
+    assert sorted(r.offset for r in found if r.file.endswith("f")) == [i * len(good) for i in range(30)]
+
+
+def test_pointer_jumping_inside_a_range():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 60, rng.integers(0, 20)))
+        after = np.where(rng.random(len(at)) < 0.15, -1, at + rng.integers(1, 20, len(at)))
+        doors = rng.random(len(at)) < 0.2
+        where = {x: i for i, x in enumerate(at.tolist())}
+        seen, out = set(), []
+        for i in range(len(at)):
+            k = i
+            while k is not None and after[k] in where:
+                k = where[after[k]]
+            out.append(int(after[k]) if after[k] < 0 or after[k] > at[-1] else -1)
+            if doors[i]:
+                k = i
+                while k is not None:
+                    seen.add(k)
+                    k = where.get(after[k])
+        assert warc.exits(at, after).tolist() == out
+        assert set(np.flatnonzero(warc.reachable(at, after, doors)).tolist()) == seen
 
 
 def test_bpe_equals_the_library(odd, none):
