@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _grown, documents_in, lean, mix, partitions, prefix_hash, spans_hash
+from .common import _grown, documents_in, equal_spans, lean, mix, partitions, prefix_hash, spans_hash, stored
 
 WIDTH = 50
 #: Bytes of the grams whose smallest hash is a window's anchor.
@@ -30,6 +30,10 @@ GRAM = 24
 _HELD, _HELD_BYTES = 1 << 18, 8 << 20
 #: Anchors that meet in a bucket, about; a task works on one bucket at a time.
 _BUCKET = 150_000
+#: Documents with one anchor beyond which its windows are dealt one by one, so that its surroundings don't meet in a task.
+_HOT = 30_000
+#: Bits of the table of such anchors; its size doesn't go with the data.
+_HOT_BITS = 22
 #: Windows that are sorted at once.
 _SORTED = 1 << 18
 #: The internal column of packed spans.
@@ -183,17 +187,19 @@ def _send_anchors(width: int, gram: int, cut: int, buckets: int):
         many = np.repeat(count > 1, count)
         groups, packed = _answers(buckets, d[many], h[many] >> np.uint64(cut))
         yield _row(groups, [1] * len(groups), groups, packed)
-        h, d = h[bounds[:-1]], np.where(count > 1, -1, d[bounds[:-1]])
+        h, d, told = h[bounds[:-1]], d[bounds[:-1]], count > 1
         cuts = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
         ids, blobs, where = [], [], []
         for k in range(buckets):
             lo, hi = int(cuts[k]), int(cuts[k + 1])
             if lo < hi:
-                base, own = np.unique(d[lo:hi], return_inverse=True)
-                first = int(base[0])
+                base, own = np.unique(d[lo:hi][~told[lo:hi]], return_inverse=True)
+                who = np.zeros(hi - lo, np.int64)  # 0: its documents know already
+                who[~told[lo:hi]] = own + 1
+                first = int(base[0]) if len(base) else 0
                 where.append(k)
                 ids.append(first)
-                blobs.append(_packed(_delta(base - first)) + _packed(_delta(h[lo:hi] >> np.uint64(cut)), own.astype(np.uint64)))
+                blobs.append(_packed(_delta(base - first)) + _packed(_delta(h[lo:hi] >> np.uint64(cut)), who.astype(np.uint64), count[lo:hi].astype(np.uint64)))
         yield _row(where, [0] * len(where), ids, blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,22 +220,37 @@ def _send_anchors(width: int, gram: int, cut: int, buckets: int):
     return run
 
 
-def _shared_anchors(buckets: int):
-    """Answers each document with its anchors that another document has; one bucket after another."""
+def _shared_anchors(buckets: int, hot: int):
+    """Answers each document with its anchors that another document has; one bucket after another.
 
-    def flush(hs: list[np.ndarray], ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        h, d = np.concatenate(hs), np.concatenate(ds)
+    Rows of group -1 hold places in the table of anchors that more than `hot` documents have.
+    """
+
+    def flush(hs: list[np.ndarray], ds: list[np.ndarray], told: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        h, d, t, n = (np.concatenate(x) for x in (hs, ds, told, ns))
         order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
+        h, d, t, n = h[order], d[order], t[order], n[order]
         bounds = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
         count = np.diff(bounds)
-        keep = np.repeat(count > 1, count) & (d >= 0)
-        return d[keep], h[keep]
+        keep = np.repeat(count > 1, count) & ~t
+        many = h[bounds[:-1]][np.add.reduceat(n, bounds[:-1]) > hot]
+        return d[keep], h[keep], many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, hs, ds = None, [], []
+        bucket, held = None, []
         out: list[tuple] = []
-        held = 0
+        size = 0
+
+        def bucket_done() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                d, h, many = flush(*map(list, zip(*held, strict=True)))
+                held = []
+                out.append((d, h))
+                size += len(d)
+                if len(many):
+                    yield _found(([-1], [_packed(_hot_place(many))]))
+
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             if (kinds == 1).any():
@@ -237,46 +258,81 @@ def _shared_anchors(buckets: int):
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int32()), own.column("blob")], ["group", "blob"])
             for i in np.flatnonzero(kinds == 0).tolist():
                 k = batch.column("bucket")[i].as_py()
-                if k != bucket and hs:
-                    out.append(flush(hs, ds))
-                    held += len(out[-1][0])
-                    hs, ds = [], []
-                    if held >= _HELD:
+                if k != bucket:
+                    yield from bucket_done()
+                    if size >= _HELD:
                         yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
-                        out, held = [], 0
+                        out, size = [], 0
                 bucket = k
                 raw, first = batch.column("blob")[i].as_py(), batch.column("doc_id")[i].as_py()
                 (base,), at = _unpacked(raw, 1)
-                (h, who), _ = _unpacked(raw[at:], 2)
-                hs.append(np.cumsum(h, dtype=np.uint64))
-                ds.append((np.cumsum(base, dtype=np.uint64).astype(np.int64) + first)[who.astype(np.int64)])
-        if hs:
-            out.append(flush(hs, ds))
+                (h, who, n), _ = _unpacked(raw[at:], 3)
+                docs = np.append(np.int64(0), np.cumsum(base, dtype=np.uint64).astype(np.int64) + first)
+                held.append((np.cumsum(h, dtype=np.uint64), docs[who.astype(np.int64)], who == 0, n.astype(np.int64)))
+        yield from bucket_done()
         if out:
             yield _found(_answers(buckets, *(np.concatenate(x) for x in zip(*out, strict=True))))
 
     return _leanly(run)
 
 
-def _send_pieces(width: int, gram: int, cut: int, buckets: int):
+def _hot_place(h: np.ndarray) -> np.ndarray:
+    """The place of (shortened) anchors in the table of hot ones."""
+    return mix(h.astype(np.uint64)) >> np.uint64(64 - _HOT_BITS)
+
+
+def _kinds(b: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, lo: np.ndarray, size: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns sorted by anchor and bytes, then document and start, and whether each piece is the first of its bytes.
+
+    Hashes of the contents bring equal pieces together; then their bytes are compared.
+    """
+    sub = np.zeros(len(h), np.int64)
+    while True:
+        order = np.lexsort((start, doc, sub, size, content, h))
+        h, doc, start, lo, size, content, sub = (x[order] for x in (h, doc, start, lo, size, content, sub))
+        new = np.append(True, (h[1:] != h[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1]) | (sub[1:] != sub[:-1]))[: len(h)]
+        kind = np.cumsum(new) - 1
+        rest = np.flatnonzero(~new)
+        same = equal_spans(b, lo[np.flatnonzero(new)[kind[rest]]], lo[rest], size[rest])
+        if same.all():
+            return h, doc, start, lo, size, content, new
+        for k in np.unique(kind[rest[~same]]).tolist():  # contents whose hashes meet by chance or design
+            known: dict[bytes, int] = {}
+            for i in np.flatnonzero(kind == k).tolist():
+                sub[i] = known.setdefault(b[lo[i] : lo[i] + size[i]].tobytes(), len(known))
+
+
+def _send_pieces(width: int, gram: int, cut: int, buckets: int, hot: np.ndarray):
     """The text of each run of windows whose anchor is shared, by anchor; of equal pieces the smallest document's.
 
     Other documents with the same piece get their answer here: all of it is in a smaller one.
+    Windows with a hot anchor are pieces of their own and dealt by all their bytes.
     """
 
+    def merged(b: np.ndarray, *cols: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """The pieces of the smallest documents that have them, and document, start and size of the others."""
+        h, doc, start, lo, size, content, new = _kinds(b, *cols)
+        later = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return tuple(x[~later] for x in (h, doc, start, lo, size, content)), tuple(x[later] for x in (doc, start, size))
+
     def flush(text: list[np.ndarray], cols: list[tuple]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
         b = np.concatenate(text)
         doc, start, lo, size, h, content = (np.concatenate(x) for x in zip(*cols, strict=True))
-        order = np.lexsort((start, doc, content, h))
-        doc, start, lo, size, h, content = (x[order] for x in (doc, start, lo, size, h, content))
-        new = np.append(True, (h[1:] != h[:-1]) | (content[1:] != content[:-1]))
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = doc != first
-        groups, packed = _answers(buckets, doc[later], start[later], size[later])
+        (h, doc, start, lo, size, _), told = merged(b, h, doc, start, lo, size, content)
+        crowded = hot[(_hot_place(h >> np.uint64(cut)) >> np.uint64(3)).astype(np.int64)] >> (_hot_place(h >> np.uint64(cut)) & np.uint64(7)).astype(np.uint8) & 1 > 0
+        if crowded.any():
+            n = size[crowded] - width + 1
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(lo[crowded], n) + step
+            key = spans_hash(prefix_hash(b), at, at + width)
+            own, more = merged(b, key, np.repeat(doc[crowded], n), np.repeat(start[crowded], n) + step, at, np.full(len(at), width), key)
+            told = tuple(np.concatenate(x) for x in zip(told, more, strict=True))
+            h, doc, start, lo, size = (np.concatenate([x[~crowded], y]) for x, y in zip((h, doc, start, lo, size), own[:5], strict=True))
+            order = np.argsort(h, kind="stable")
+            h, doc, start, lo, size = (x[order] for x in (h, doc, start, lo, size))
+        groups, packed = _answers(buckets, *told)
         yield _row(groups, [1] * len(groups), groups, packed)
-        keep = ~later
-        doc, start, lo, size, h = (x[keep] for x in (doc, start, lo, size, h))
         cuts = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
         ids, blobs, where = [], [], []
         for k in range(buckets):
@@ -362,10 +418,7 @@ def _contents(b: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _covered(b: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, lo: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and length of the pieces' parts that a smaller document has; pieces come sorted by anchor."""
-    content = _contents(b, lo, size)
-    order = np.lexsort((start, doc, content, h))
-    doc, start, lo, size, h, content = (x[order] for x in (doc, start, lo, size, h, content))
-    new = np.append(True, (h[1:] != h[:-1]) | (content[1:] != content[:-1]))
+    h, doc, start, lo, size, _, new = _kinds(b, h, doc, start, lo, size, _contents(b, lo, size))
     at = np.flatnonzero(new)
     kind = np.cumsum(new) - 1
     later = doc != doc[at][kind]
@@ -478,11 +531,13 @@ def _plan_for(documents: DataFrame, width: int, gram: int) -> tuple[int, int]:
     second round compares bytes. Text is taken to be twice its stored size.
     """
     size = max(2, int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the optimizer can't tell, as for rows that come from no files
+        return 0, 64
     found = 2 * size * 2 // (width - gram + 2)
-    return 64 - min(64, max(40, math.ceil(math.log2(size)) + 18)), max(1, min(64, -(-found // (_BUCKET * partitions(documents.sparkSession)))))
+    return 64 - min(64, max(40, math.ceil(math.log2(size)) + 18)), max(1, -(-found // (_BUCKET * partitions(documents.sparkSession))))
 
 
-def covered_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def covered_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = _HOT) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the documents with an id, dealt by it, and doc_id with the packed spans that smaller documents have."""
     spark = documents.sparkSession
     tasks = partitions(spark)
@@ -494,10 +549,14 @@ def covered_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     def dealt(rows: DataFrame, by: str) -> DataFrame:
         return rows.repartitionById(tasks, F.col(by) % tasks).sortWithinPartitions(by)
 
-    found = dealt(sent, "bucket").mapInArrow(_shared_anchors(buckets), "group int, blob binary")
-    shared = dealt(found, "group").mapInArrow(_per_document(1), "doc_id long, blob binary").withColumnRenamed("blob", "shared")
+    found = stored(dealt(sent, "bucket").mapInArrow(_shared_anchors(buckets, hot), "group int, blob binary"), "anchors")
+    crowded = np.zeros(1 << (_HOT_BITS - 3), np.uint8)
+    for row in found.where("group < 0").select("blob").distinct().toLocalIterator():  # places in a table of fixed size
+        place = _unpacked(bytes(row.blob), 1)[0][0].astype(np.int64)
+        np.bitwise_or.at(crowded, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    shared = dealt(found.where("group >= 0"), "group").mapInArrow(_per_document(1), "doc_id long, blob binary").withColumnRenamed("blob", "shared")
     texts = known.repartition(tasks, "doc_id")
-    pieces = texts.join(shared.hint("shuffle_hash"), "doc_id").select(texts.doc_id, texts.text, shared.shared).mapInArrow(_send_pieces(width, gram, cut, buckets), _SCHEMA)
+    pieces = texts.join(shared.hint("shuffle_hash"), "doc_id").select(texts.doc_id, texts.text, shared.shared).mapInArrow(_send_pieces(width, gram, cut, buckets, crowded), _SCHEMA)
     covered = dealt(pieces, "bucket").mapInArrow(_sort_pieces(width, buckets), "group int, blob binary")
     return texts, dealt(covered, "group").mapInArrow(_per_document(2), "doc_id long, blob binary").withColumnRenamed("blob", SPANS)
 
@@ -512,7 +571,7 @@ def _cut(own: np.ndarray, spans: bytes | None) -> tuple[bytes, int]:
     return b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(own)], strict=True)), len(s)
 
 
-def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, width: int = WIDTH, hot: int = _HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document.
 
     Removed is each byte covered by a window of `width` bytes that also starts in a document
@@ -521,7 +580,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     lose what either's windows lose at these offsets. Other columns are left out.
     """
     documents = documents.select("doc_id", "text")
-    texts, spans = covered_spans(documents, width)
+    texts, spans = covered_spans(documents, width, hot=hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,6 +81,38 @@ def test_repeats_of_random_bytes(spark):
     assert {i: tuple(r)[1:] for i, r in by_id(repeats.remove_repeats(df)).items()} == cut(texts)
 
 
+def test_repeats_round_hot_anchors_and_negative_ids(spark):
+    """A line in all documents, each with its own surroundings; some repeat passages; ids below 0; every anchor counts as hot."""
+    rng = random.Random(3)
+    line = "this line of forty bytes is in all texts"
+    texts = {}
+    for i in range(-20, 40):
+        texts[i] = prose(rng, 8) + line + prose(rng, 8) + (texts[i - 7][20:160] if i % 5 == 0 and i - 7 in texts else "")
+    texts |= {100: line * 3, 101: line * 3 + "x", 102: None}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()] + [(None, line * 3, "y", 2), (0, texts[0], "z", 3)], "doc_id long, text string, blob string, shared int")
+    for hot in (repeats._HOT, 3):
+        found = repeats.remove_repeats(df, hot=hot).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in found if r.doc_id is not None} == cut(texts) and len(found) == len(texts) + 2
+        assert [r.n_removed for r in found if r.doc_id is None] == [0]
+    kept = repeats.without_repeats(df)
+    assert kept.columns == df.columns and kept.count() == df.count()
+
+
+def test_equal_hashes_of_other_bytes():
+    """Pieces whose contents' hashes meet are told apart by their bytes."""
+    texts = [b"aaaa", b"bbbb", b"aaaa", b"cccc", b"bbbb", b"aaaaa"]
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    lo = np.cumsum(size) - size
+    zero = np.zeros(len(texts), np.uint64)
+    _, doc, _, where, n, _, new = repeats._kinds(b, zero, np.arange(len(texts)), np.zeros(len(texts), np.int64), lo, size, zero)
+    kinds = np.cumsum(new)
+    found = {}
+    for k, d, x, m in zip(kinds.tolist(), doc.tolist(), where.tolist(), n.tolist(), strict=True):
+        found.setdefault(k, []).append((d, b[x : x + m].tobytes()))
+    assert sorted(sorted(d for d, _ in v) for v in found.values()) == [[0, 2], [1, 4], [3], [5]] and all(len({t for _, t in v}) == 1 for v in found.values())
+
+
 def test_radix_passes():
     rng = np.random.default_rng(2)
     b = rng.integers(0, 3, 3000).astype(np.uint8)
