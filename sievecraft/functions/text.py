@@ -148,6 +148,10 @@ def section(text: Column, tag: str) -> Column:
     return F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1)
 
 
+# fixed values: characters that a text may have, beside blanks
+_ALLOWED = r"A-Za-z0-9\u4e00-\u9fff.,!?;:()\[\]{}<>@#$%^&*+\-=_~\s\x0b\x1c-\x1f\x85\p{Z}"
+
+
 def valid_chars(text: Column) -> Column:
-    """Not empty, and printable ASCII only."""
-    return text.rlike(r"^[\x20-\x7e]+$")
+    """Latin letters, Chinese characters, digits, common marks and blanks only; an empty text is valid."""
+    return text.rlike(rf"^[{_ALLOWED}]*\z")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
+from ..functions import denoise as D
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import quality as Q
@@ -130,10 +131,11 @@ def instruction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(Q.first_reason(checks), F.lit("kept")).alias("reason"))
 
 
-@query("select conv_id, count(*) filter (where regexp_matches(text, '[0-9]')) as grounded, count(*) filter (where not regexp_matches(coalesce(text, ''), '[0-9]')) as plain from conversations group by conv_id")
+@query("with c as (select conv_id, coalesce(text, '') || case when turn % 3 = 1 then ' [0.' || turn || ', 0.25,-1.5 , 2.0 ]' when turn % 3 = 2 then ' [1, 2, 3, 4]' else '' end as t from conversations) select conv_id, count(*) filter (where regexp_matches(t, '" + D.BRACKETED_BOX + "')) as grounded, count(*) filter (where not regexp_matches(t, '" + D.BRACKETED_BOX + "')) as plain from c group by conv_id")
 def grounding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each dialogue with and without numbers."""
-    has = F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False))
+    """Turns of each dialogue with and without a box of four fractions in brackets."""
+    box = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" [0."), F.col("turn").cast("string"), F.lit(", 0.25,-1.5 , 2.0 ]"))).when(F.col("turn") % 3 == 2, " [1, 2, 3, 4]").otherwise("")
+    has = F.concat(F.coalesce("text", F.lit("")), box).rlike(D.BRACKETED_BOX)
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(M.count_if(has).alias("grounded"), M.count_if(~has).alias("plain"))
 
 
@@ -178,11 +180,11 @@ def corpus_bleu_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(one)).select("n", "hits", "total", "refs", M.ratio(F.col("hits"), F.col("total")).alias("precision"), "brevity")
 
 
-@query("select doc_id, case when regexp_matches(lower(text), 'password|license|click here') then 'keyword' when not regexp_full_match(text, '[\\x00-\\x7F]*') then 'script' else 'kept' end as gate from documents")
+@query("select doc_id, case when contains(text, 'I can''t') or contains(text, 'sorry') then 'keyword' when not regexp_full_match(text, '[\\x00-\\x7F]*') then 'script' else 'kept' end as gate from documents")
 def text_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with bad keywords, then texts beyond ASCII."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(Q.first_reason([("keyword", F.lower(text).rlike("password|license|click here")), ("script", ~text.rlike(r"^[\x00-\x7F]*\z"))]), F.lit("kept")).alias("gate"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(Q.first_reason([("keyword", D.has_any(text, D.REFUSALS)), ("script", ~text.rlike(r"^[\x00-\x7F]*\z"))]), F.lit("kept")).alias("gate"))
 
 
 @query("select doc_id, coalesce(cast(l.quality as varchar), 'FAILED') as first, coalesce(cast(b.item_id as varchar), 'FAILED') as second, coalesce(cast(l.quality as varchar), cast(b.item_id as varchar), lang) as final from documents d left join labels l using (doc_id) left join benchmark b on b.item_id = d.doc_id")

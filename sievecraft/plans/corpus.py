@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import denoise as D
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import windows as O
 from ..session import table
 from .registry import Registry
+from .samples import _PAIRS, pairs
 
 _registry = Registry()
 query = _registry.query
@@ -30,7 +32,7 @@ def language_script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang").agg(*[M.count_if(T.has_script(t, k)).alias(k) for k in T.SCRIPTS], M.count_if(T.has_english(t)).alias("english"), F.count("*").alias("n"))
 
 
-@query(r"select doc_id from documents where regexp_full_match(text, '[\x20-\x7e]+')")
+@query(r"select doc_id from documents where regexp_full_match(text, '[A-Za-z0-9\x{4e00}-\x{9fff}.,!?;:()\[\]{}<>@#$%^&*+\-=_~\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]*')")
 def valid_string_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where(T.valid_chars(F.col("text"))).select("doc_id")
 
@@ -66,7 +68,7 @@ def class_balance_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", "lang")
     counts = d.groupBy("lang").agg(F.count("*").alias("n"))
     target = counts.agg(F.bround(F.percentile("n", F.lit(0.75)), 0).cast("long").alias("target"))
-    r = d.join(counts, "lang").crossJoin(F.broadcast(target)).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(O.hash_rank("bal", "doc_id"), "doc_id")))
+    r = O.ranked(d, ["lang"], O.hash_rank("bal", "doc_id"), "k").join(counts, "lang").crossJoin(F.broadcast(target))
     copies = F.floor(F.col("target") / F.col("n")) + F.when(F.col("k") <= F.col("target") % F.col("n"), 1).otherwise(0)
     return r.select("lang", "doc_id", copies.alias("copies")).where("copies > 0")
 
@@ -146,25 +148,29 @@ def semi_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("select doc_id from documents where doc_id % 3 <> 0 intersect select doc_id from labels where quality = 1 intersect select doc_id from documents where length(text) > 500")
+@query("select doc_id from documents where lang <> 'de' intersect select doc_id from labels where quality = 1 intersect select doc_id from documents where length(text) > 500")
 def intersect_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.where("doc_id % 3 <> 0").select("doc_id").intersect(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).intersect(d.where(F.length("text") > 500).select("doc_id"))
+    return d.where("lang <> 'de'").select("doc_id").intersect(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).intersect(d.where(F.length("text") > 500).select("doc_id"))
 
 
-@query(r"""with p as (select doc_id, split_part(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), ' ', 1) as a, split_part(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), ' ', 2) as b from documents
-), s as (select *, case when greatest(length(a), length(b)) = 0 then 1.0::double else 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) end as v from p) select doc_id, round(case when v < 0.5 then 0 else v end, 6) as anls from s""")
+_NEAR = "case when greatest(length(p_name), length({0})) = 0 then 1.0::double when 1 - levenshtein(p_name, {0})::double / greatest(length(p_name), length({0})) < 0.5 then 0.0::double else 1 - levenshtein(p_name, {0})::double / greatest(length(p_name), length({0})) end"
+
+
+@query(f"""with a as (select *, lower(p_type) as a1, left(p_name, length(p_name) - 2) || 'xy' as a2, p_brand as a3 from part) select p_brand, count(*) as n, round(avg(greatest({', '.join(_NEAR.format(x) for x in ('a1', 'a2', 'a3'))})), 6) as anls, round(avg(case when p_name in (a1, a2, a3) then 1.0::double else 0 end), 6) as exact from a group by p_brand""")
 def anls_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split(F.regexp_replace("text", r"[^\x20-\x7e]", ""), " ")
-    a, b = F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.anls(a, b), 6).alias("anls"))
+    """Mean over answers of the best similarity to any of the accepted ones, and of exact hits."""
+    accepted = F.array(F.lower("p_type"), F.concat(F.expr("left(p_name, length(p_name) - 2)"), F.lit("xy")), F.col("p_brand"))
+    best = F.array_max(F.transform(accepted, lambda x: T.anls(F.col("p_name"), x)))
+    exact = F.array_contains(accepted, F.col("p_name")).cast("double")
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg(best), 6).alias("anls"), F.round(F.avg(exact), 6).alias("exact"))
 
 
-@query("""with d as (select doc_id, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from documents), b as (select item_id, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as v from benchmark)
-select item_id, doc_id, round(2.0::double * len(list_intersect(w, v)) / (len(w) + len(v)), 6) as f1 from d join b on d.doc_id % 40 = b.item_id""")
+@query(_PAIRS + """, d as (select conv_id, k, list_distinct(list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '')) as w, list_distinct(list_filter(regexp_split_to_array(answer, '\\s+'), lambda x: x <> '')) as v from p)
+select conv_id, k, case when len(w) + len(v) = 0 then 0.0::double else round(2.0::double * len(list_intersect(w, v)) / (len(w) + len(v)), 6) end as f1 from d""")
 def token_set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w"), (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("v")), "item_id").select("item_id", "doc_id", F.round(T.set_f1(F.col("w"), F.col("v")), 6).alias("f1"))
+    """F1 of the sets of words of each question and its answer."""
+    return pairs(spark, sf_dir).select("conv_id", "k", F.coalesce(F.round(T.set_f1(T.words(F.col("question")), T.words(F.col("answer"))), 6), F.lit(0.0)).alias("f1"))
 
 
 @query("select l_orderkey, count(*) as n, count(*) filter (where l_quantity <> 0 and abs(l_quantity * (1 + l_discount) - l_quantity) / l_quantity <= 0.05) as close from lineitem group by l_orderkey")
@@ -207,9 +213,11 @@ def source_task_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("source", task.alias("task")).cube("source", "task").agg(F.count("*").alias("n"))
 
 
-@query("select page_id, regexp_matches(lower(html), '404|not found|access denied|server error|bad gateway') as failed from pages")
+@query("select page_id, regexp_matches(html || case when page_id % 9 = 0 then ' <h1>' || (400 + page_id % 120) || ' Gone</h1>' else '' end, '" + "|".join(D.BROKEN_PAGES) + "') as failed from pages where html is not null")
 def network_error_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.lower("html").rlike("404|not found|access denied|server error|bad gateway").alias("failed"))
+    """Pages that hold a status line of a failed request; some get one here."""
+    line = F.when(F.col("page_id") % 9 == 0, F.concat(F.lit(" <h1>"), (400 + F.col("page_id") % 120).cast("string"), F.lit(" Gone</h1>"))).otherwise("")
+    return table(spark, sf_dir, "pages").where("html is not null").select("page_id", D.has_any(F.concat("html", line), D.BROKEN_PAGES).alias("failed"))
 
 
 @query(r"select page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) as stripped from pages")
