@@ -668,28 +668,108 @@ def test_decontamination(spark, odd, none, monkeypatch, limit):
         assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_pipeline_keeps_what_each_stage_keeps(spark):
+def contaminated(texts, items, size=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + size]) for t in items for w in [words(t)] for i in range(max(1, len(w) - size + 1)) if w}
+    sizes = {len(w) for w in windows}
+    return {i for i, t in texts.items() for w in [words(t)] if any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
+
+
+def without_repeated(texts, width=50):
+    """The texts without all bytes that windows of smaller documents cover: brute force."""
+    first, out = {}, {}
+    for i in sorted(texts):
+        b = (texts[i] or "").encode()
+        for s in range(len(b) - width + 1):
+            first.setdefault(b[s : s + width], i)
+    for i, t in texts.items():
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - width + 1):
+            if first[b[s : s + width]] < i:
+                gone[s : s + width] = True
+        out[i] = None if t is None else np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() and each stage on what the one before kept, against plain Python on the same rows."""
     import corpus_pipeline as C
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     out = C.run(spark, d)
-    assert 0 < out.count() <= docs.count()
     before = docs
     for _name, stage in C.STAGES[:-1]:
         after = stage(spark, before, d).cache()
         assert after.columns == docs.columns
-        texts = {r.doc_id: r.text for r in before.collect()}
-        kept = {r.doc_id: r.text for r in after.collect()}
-        assert set(kept) <= set(texts)
-        if stage is C.drop_near_duplicates:
+        texts, kept = ({r.doc_id: r.text for r in x.collect()} for x in (before, after))
+        if stage is C.reject_toxic:
+            model = toxicity.fit(before, spark.read.parquet(f"{d}/labels.parquet"))
+            assert set(kept) == {r.doc_id for r in toxicity.score(before, model).collect() if r.score < 0.5}
+        elif stage is C.drop_near_duplicates:
             assert set(kept) == {i for i, c in classes(texts).items() if c[2]}
         elif stage is C.cut_repeats:
-            expected = cut(texts)
-            assert all((kept[i] == t) == (expected[i][1] == 0) for i, t in texts.items())
+            assert kept == without_repeated(texts)
+        else:
+            assert set(kept) == set(texts) - contaminated(texts, items)
         before = after
-    ours = bpe.vocabulary(queries.TOKENIZER, public_tokenizers.PATTERN)
-    assert {r.doc_id: r.n_tokens for r in out.collect()} == {i: len(ours.encode(t or "")) for i, t in kept.items()}
+    ours = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.TOKENIZER), special_tokens={})
+    ids = {i: ours.encode_ordinary(t or "") for i, t in kept.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in out.collect()} == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in ids.items()}
+
+
+def test_stages_on_odd_tables(spark, odd, none):
+    """Nulls, repeated rows, no rows, extra columns with the stages' own names."""
+    import corpus_pipeline as C
+
+    d = "/root/testdata/sf0.001"
+    extra = odd.where("doc_id in (0, 1, 2, 3, 7, 8, 9, 11, 12)").unionByName(spark.createDataFrame([(None, "alone", None, None, None), (None, None, "x", "y", 1)], DOCS)).selectExpr("*", "'a' as term", "1 as component_id", "2 as score", "3 as blob", "4 as position")
+    for _name, stage in C.STAGES[:-1]:
+        found = stage(spark, extra, d)
+        assert found.columns == extra.columns
+        ids = [r.doc_id for r in found.collect()]
+        assert ids.count(None) == 2 and {0, 1, 2, 3, 7} <= set(ids) and (8 in ids) == (stage is not C.drop_near_duplicates)
+        assert ids.count(9) == (0 if stage is C.drop_near_duplicates else 2)
+        empty = stage(spark, none, d)
+        assert empty.columns == none.columns and empty.count() == 0
+    assert C.encode(spark, extra, d).count() == 12 and C.encode(spark, none, d).count() == 0
+
+
+def test_chat_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, output string, n_turns int"
+    rows = [(1, None, "user", "b", "x", 1), (1, 0, "assistant", "second", "x", 1), (1, 0, "assistant", "first", "y", 2), (1, 0, "assistant", "first", "y", 2)]
+    form = lambda df: chat.format_conversations(df, chat.TurnTemplate(), chat.TurnTemplate.read, chat.unescape, keep=True)
+    assert form(spark.createDataFrame([], schema)).count() == 0
+    r = form(spark.createDataFrame(rows, schema)).collect()[0]
+    assert r.n_turns == 4 and [t for _, t in chat.TurnTemplate.read(r.output)] == ["b", "first", "first", "second"]
+
+
+def test_shards_by_an_independent_filling(spark):
+    """The query's places against a table filled turn by turn in plain Python, and null keys."""
+    def fill(names, slots):
+        def order(s):
+            h = hashlib.sha256(s.encode()).digest()
+            start, skip = int.from_bytes(h[:8], "big") % slots, int.from_bytes(h[8:16], "big") % (slots - 1) + 1
+            return ((start + k * skip) % slots for k in range(slots))
+
+        prefers, taken = [order(n) for n in names], {}
+        while len(taken) < slots:
+            for n, p in zip(names, prefers, strict=True):
+                if len(taken) < slots:
+                    taken[next(k for k in p if k not in taken)] = n
+        return taken
+
+    small = fill(["a", "b", "c"], 101)
+    assert ["abc"[i] for i in sharding.fill(["a", "b", "c"], 101)] == [small[k] for k in range(101)]
+    table = fill(queries.SHARDS, sharding.SLOTS)
+    d = "/root/testdata/sf0.001"
+    found = queries.op9_sharding(spark, d).collect()
+    slots = {r.doc_id: r.slot for r in spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"cast(pmod(xxhash64(cast(doc_id as string)), {sharding.SLOTS}) as int) as slot").collect()}
+    assert len(found) == len(slots) and all(r.slot == slots[r.doc_id] and r.shard == table[r.slot] for r in found)
+    nulls = sharding.place(spark.createDataFrame([(None,), (None,), (1,)], "k long"), "k", ["a", "b"], 101).collect()
+    assert len(nulls) == 3 and len({r.shard for r in nulls if r.k is None}) == 1
 
 
 def test_scratch_is_below_the_shared_folder(spark):
