@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each working on what the one before kept."""
+"""A training corpus from raw documents: five stages, each working on what the one before kept.
+
+All stages but the last return the columns of their input, further ones too. Rows of a null
+doc_id are nobody's copy, source or hit and pass all stages but the toxicity of their text;
+repeated rows stay repeated and share what is decided for their id; null and empty texts pass;
+an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
