@@ -389,7 +389,8 @@ def remaining_links(nodes: DataFrame, classes: DataFrame, documents: DataFrame,
 
 def _by_rare_shingles(crowd: DataFrame, documents: DataFrame, words: int, similarity: int) -> DataFrame:
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").repartition(partitions(spark), "doc_id").join(crowd.hint("shuffle_hash"), "doc_id").select("doc_id", "label", "text")
+    # ids and labels alone: where their stored size is small, Spark sends them to the texts and no text is shuffled
+    texts = documents.select("doc_id", "text").join(crowd, "doc_id").select("doc_id", "label", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << _RARITY_BITS, np.int64)
@@ -427,6 +428,8 @@ def _by_rare_shingles(crowd: DataFrame, documents: DataFrame, words: int, simila
     rows = texts.mapInArrow(firsts, "key long, hot boolean, doc_id long, label long, place int, size int")
     columns = ["doc_id", "label", "place", "size"]
     one = rows.where("not hot").select("key", *[F.lit(0).alias(x) for x in ("lo", "hi", "block")], *columns)
+    if not crowded.any():
+        return _dealt(one, _all_pairs({"place": np.int32, "size": np.int32}, _possible(similarity)))
     # what may have more documents than a task should hold meets block against block
     hot = rows.where("hot")
     hot = hot.join(hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key")
