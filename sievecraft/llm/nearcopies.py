@@ -4,8 +4,8 @@ Each tree of the join branches documents by a few chosen minwise tokens of their
 sets: documents that agree there meet in a node. A first round goes on by further chosen
 tokens, laid out as a sort order whose runs are leaves, and confirms on full sets a few of
 each leaf's likeliest pairs; these links make classes. A second round compares by sketches
-all documents of a node that aren't in one class yet, large nodes block against block, and
-confirms every likely pair.
+all documents of a small node that aren't in one class yet, those of larger nodes by their
+rarest shingles, and confirms every likely pair.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SMALL = 128
 BLOCK = 1 << 16
 #: Shingles are counted in 2**_RARITY_BITS buckets, whatever the corpus.
 _RARITY_BITS = 20
+#: Most doc_ids, 8 bytes each, that are sent to the texts; where there are more, the texts are shuffled to them.
+SENT = 1 << 20
 #: Places where the copies of one set are looked up.
 _SALTS = 32
 #: Pairs whose sketches are compared at once.
@@ -441,7 +443,7 @@ def _by_rare_shingles(crowd: DataFrame, documents: DataFrame, words: int, simila
 def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """The candidate links (a, b) whose full shingle sets, compared byte by byte, are similar enough."""
     spark = documents.sparkSession
-    wanted = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = stored(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=1)
@@ -453,7 +455,11 @@ def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, simila
                 yield pa.RecordBatch.from_arrays([column.slice(k, len(ids)), pa.array(packed, pa.binary())], ["doc_id", "words"])
                 k += len(ids)
 
-    texts = documents.select("doc_id", "text").repartition(partitions(spark), "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    texts = documents.select("doc_id", "text")
+    if wanted.count() <= SENT:
+        texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
+    else:
+        texts = texts.repartition(partitions(spark), "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
     full = texts.mapInArrow(sets, "doc_id long, words binary")
     # pairs are dealt by a square of doc_id hashes, and each text goes once to a cell that needs it
     cell = [F.pmod(F.xxhash64(x), F.lit(partitions(spark))).alias(y) for x, y in (("a", "x"), ("b", "y"))]
