@@ -34,7 +34,7 @@ SMALL = 128
 BLOCK = 1 << 16
 #: Shingles are counted in 2**_RARITY_BITS buckets, whatever the corpus.
 _RARITY_BITS = 20
-#: Most doc_ids, 8 bytes each, that are sent to the texts; where there are more, the texts are shuffled to them.
+#: Most doc_ids, with a label 16 bytes each, that are sent to the texts; where there are more, the texts are shuffled to them.
 SENT = 1 << 20
 #: Places where the copies of one set are looked up.
 _SALTS = 32
@@ -389,10 +389,17 @@ def remaining_links(nodes: DataFrame, classes: DataFrame, documents: DataFrame,
     return small.union(_by_rare_shingles(crowd, documents, words, similarity)).distinct()
 
 
+def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is in a stored table that has each id once, with its other columns."""
+    texts = documents.select("doc_id", "text")
+    if ids.count() <= SENT:
+        return texts.join(F.broadcast(ids), "doc_id")
+    return texts.repartition(partitions(documents.sparkSession), "doc_id").join(ids.hint("shuffle_hash"), "doc_id")
+
+
 def _by_rare_shingles(crowd: DataFrame, documents: DataFrame, words: int, similarity: int) -> DataFrame:
     spark = documents.sparkSession
-    # ids and labels alone: where their stored size is small, Spark sends them to the texts and no text is shuffled
-    texts = documents.select("doc_id", "text").join(crowd, "doc_id").select("doc_id", "label", "text")
+    texts = _texts_of(documents, crowd).select("doc_id", "label", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << _RARITY_BITS, np.int64)
@@ -455,12 +462,7 @@ def confirmed(links: DataFrame, documents: DataFrame, words: int = WORDS, simila
                 yield pa.RecordBatch.from_arrays([column.slice(k, len(ids)), pa.array(packed, pa.binary())], ["doc_id", "words"])
                 k += len(ids)
 
-    texts = documents.select("doc_id", "text")
-    if wanted.count() <= SENT:
-        texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
-    else:
-        texts = texts.repartition(partitions(spark), "doc_id").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    full = texts.mapInArrow(sets, "doc_id long, words binary")
+    full = _texts_of(documents, wanted).mapInArrow(sets, "doc_id long, words binary")
     # pairs are dealt by a square of doc_id hashes, and each text goes once to a cell that needs it
     cell = [F.pmod(F.xxhash64(x), F.lit(partitions(spark))).alias(y) for x, y in (("a", "x"), ("b", "y"))]
     pairs = links.select(*cell, "a", "b")

@@ -394,7 +394,9 @@ def test_true_pairs_in_a_family_just_below_the_threshold(spark):
     assert {i: r.component_id for i, r in by_id(nearcopies.near_duplicates(df)).items()} == {i: c[1] for i, c in classes(texts).items()}
 
 
-def test_shared_shingles_meet_block_against_block(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [nearcopies.SENT, 0])
+def test_shared_shingles_meet_block_against_block(spark, monkeypatch, sent):
+    monkeypatch.setattr(nearcopies, "SENT", sent)
     monkeypatch.setattr(nearcopies, "SMALL", 8)
     monkeypatch.setattr(nearcopies, "BLOCK", 1)
     texts = family(random.Random(15), 80, 140, 30, 7) | {200: "a b c d e f", 201: "a b c d e f g", 202: "A b c d e"}
