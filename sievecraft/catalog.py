@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import agents, boxes, converting, corpus, denoising, judging, pages, resample, samples, screens, steps
+from .plans import agents, boxes, converting, corpus, denoising, dialects, judging, pages, resample, samples, screens, steps
 
 QUERIES = {}
 ORACLES = {}
-for _module in (agents, boxes, converting, corpus, denoising, judging, pages, resample, samples, screens, steps):
+for _module in (agents, boxes, converting, corpus, denoising, dialects, judging, pages, resample, samples, screens, steps):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

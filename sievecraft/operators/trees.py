@@ -59,6 +59,18 @@ def _simplified(wrapper: str) -> Callable[[list[Node]], list[tuple]]:
     return run
 
 
+def _pruned(nodes: list[Node]) -> list[tuple]:
+    gone = {n for n, _, t in nodes if t == "true"}
+    holder, out = {}, []
+    for n, _, parent in preorder(nodes):
+        up = holder[parent] if parent in gone else parent  # a parent comes before its children
+        if n in gone:
+            holder[n] = up
+        else:
+            out.append((n, up, len(out)))
+    return out
+
+
 def _related(mark: str) -> Callable[[list[Node]], list[tuple]]:
     def run(nodes: list[Node]) -> list[tuple]:
         roots, below = _children(nodes)
@@ -123,3 +135,8 @@ def without_wrappers(df: DataFrame, tree: str, node: str, parent: str, text: str
 def with_relatives(df: DataFrame, tree: str, node: str, parent: str, text: str, mark: str) -> DataFrame:
     """tree, node, why: marked nodes, and their ancestors, children and siblings; the first of these reasons holds."""
     return _each_tree(df, tree, node, parent, text, _related(mark), "node long, why string")
+
+
+def pruned(df: DataFrame, tree: str, node: str, parent: str, gone: str) -> DataFrame:
+    """tree, node, up, position: nodes whose column `gone` doesn't hold; the children of others take their places, below their nearest kept ancestor."""
+    return _each_tree(df.withColumn(gone, F.col(gone).cast("string")), tree, node, parent, gone, _pruned, "node long, up long, position long")

@@ -88,6 +88,19 @@ def ranked(df: DataFrame, by: list[str], rank: Column, name: str = "rank") -> Da
     return keyed.withColumn("__inside", inside).join(before, [*by, "__block"]).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
 
 
+def running(df: DataFrame, rank: Column, value: str, name: str) -> DataFrame:
+    """The sum of a value over all rows before each, in the order of a hex hash; 0 for the first.
+
+    Totals run inside 4,096 blocks by the hash's first three digits and over the blocks, so no
+    task sorts all rows.
+    """
+    keyed = df.withColumn("__hash", rank).withColumn("__block", F.substring("__hash", 1, 3))
+    blocks = keyed.groupBy("__block").agg(F.sum(value).alias("__n"))
+    before = blocks.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__block").orderBy("__hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return keyed.withColumn("__inside", inside).join(F.broadcast(before), "__block").select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+
+
 def resampled(df: DataFrame, by: str, rank: Column, target: DataFrame) -> DataFrame:
     """Each class with exactly the target's rows: whole copies, then the first rows by hash. target: by, n, target."""
     placed = ranked(df, [by], rank, "__rank").join(target, by)
