@@ -74,7 +74,7 @@ def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escaped, in base64 and shortened in the middle."""
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.xml_escape(F.concat(url, F.lit("<&>")))).alias("escaped"), F.base64(F.encode(url, "utf-8")).alias("coded"), T.shorten(url, 30, "center").alias("short"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.xml_escape(F.concat(url, F.lit("<&>")))).alias("escaped"), T.base64(url).alias("coded"), T.shorten(url, 30, "center").alias("short"))
 
 
 @query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, list_sum(list_transform(regexp_extract_all(url, '\\d+'), lambda x: cast(x as bigint))) as numbers from pages")

@@ -38,6 +38,14 @@ def test_query_matches_its_sql(spark, duck, name):
     assert rows(tuple(r[c] for c in columns) for r in df.collect()) == rows(found.fetchall())
 
 
+def test_long_urls_match_the_sql(spark, tmp_path):
+    urls = [None, "", "x" * 56, "x" * 57, "x" * 58, "ü" * 29, "http://a.example/?q=<&>\"" + "日本😀" * 100, "x" * 30, "x" * 31, "a b\r\nc" * 20]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows(catalog.QUERIES["url_forms"](spark, str(tmp_path)).collect()) == rows(c.execute(catalog.ORACLES["url_forms"]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["iou_overlap_pairs", "mean_iou", "nms_drop_larger", "smallest_containing_box", "negative_boxes_top9"])
 def test_spatial_joins_have_keys_and_no_python(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
