@@ -160,8 +160,19 @@ def _near(found: Found) -> DataFrame:
     return both.join(found.wanted.select("wid", "item_id"), "wid").select("item_id", "doc_id").distinct()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = SLACK) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near_items for each document.
+def near_items(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """doc_id and n_near_items for each document: the items that proximity_matches finds in it."""
+    documents, benchmark = documents.select("doc_id", "text"), benchmark.select("item_id", "text")
+    near = _counted(search(documents, benchmark, size, slack))
+    return documents.select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"))
+
+
+def _counted(found: Found) -> DataFrame:
+    return _near(found).groupBy("doc_id").agg(F.count("*").alias("n_near_items"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = SLACK, near: bool = True) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if `near`, n_near_items for each document.
 
     n_hit counts the words inside any occurrence of any window, each once; n_near_items the
     items with a window whose words lie close together in any order. Null and empty texts have
@@ -170,9 +181,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     their names. An empty benchmark hits nothing.
     """
     documents, benchmark = documents.select("doc_id", "text"), benchmark.select("item_id", "text")
-    seen = search(documents, benchmark, size, slack)
+    seen = search(documents, benchmark, size, slack if near else 0)
     found = stored(_matches(seen), "matches")
-    near = _near(seen).groupBy("doc_id").agg(F.count("*").alias("n_near_items"))
     spans = found.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
     before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = spans.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0)))).where(F.col("end") > F.col("from"))
@@ -183,6 +193,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     rows = documents.select("doc_id", parts.alias("parts"))
     empty = (F.col("parts")[0] == "").cast("int") + ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
     rows = rows.select("doc_id", (F.size("parts") - empty).cast("long").alias("n_words"))
-    both = rows.join(near.join(hit.join(items, "doc_id"), "doc_id", "left"), "doc_id", "left")
+    said = hit.join(items, "doc_id")
+    both = rows.join(_counted(seen).join(said, "doc_id", "left") if near else said, "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"))
+    more = [F.coalesce("n_near_items", F.lit(0)).alias("n_near_items")] if near else []
+    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *more)

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import ahocorasick  # noqa: F401
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -670,6 +671,33 @@ def test_decontamination(spark, odd, none, monkeypatch, limit):
         assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("name", ["near_items", "op10_decontamination"])
+def test_decontamination_queries_have_rows_and_columns_of_their_sql(spark, tmp_path, name):
+    rng = random.Random(15)
+    few, item = WORDS[:4], [rng.choice(WORDS) for _ in range(24)]
+    made = [None, "", "--", *(" ".join(rng.choice(few) for _ in range(rng.randint(1, 60))) for _ in range(20))]
+    for _ in range(60):
+        part = item[(k := rng.randint(0, 14)) : k + 10]
+        if rng.random() < 0.7:
+            rng.shuffle(part)
+        for _ in range(rng.randint(0, 7)):
+            part.insert(rng.randint(1, len(part) - 1), rng.choice(["other", "words"]))
+        made.append(prose(rng, 5) + ". " + ", ".join(part).upper() + " " + prose(rng, 20))
+    items = [(1, " ".join(item)), (2, " ".join(rng.choice(few) for _ in range(14))), (10, "alpha ALPHA beta"), (3, None), (4, "--"), (5, "nowhere alpha"), (6, " ".join(item[:12]))]
+    for table, rows, schema in (("documents", list(enumerate(made)), "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    c = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        c.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    df, sql = queries.QUERIES[name](spark, str(tmp_path)), c.execute(queries.ORACLES[name])
+    assert df.columns == [x[0] for x in sql.description]
+    expected = sorted(sql.fetchall())
+    assert sorted(map(tuple, df.collect())) == expected and len({r[-1] for r in expected}) > 1
+    if name == "near_items":
+        close = close_items(dict(enumerate(made)), items)
+        assert dict(expected) == {i: sum(x[1] == i for x in close) for i in range(len(made))}
+
+
 def contaminated(texts, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {tuple(w[i : i + size]) for t in items for w in [words(t)] for i in range(max(1, len(w) - size + 1)) if w}
